@@ -138,11 +138,13 @@ def language_complexity(text: Column, clean: Column, tokens: Column) -> Column:
     return F.lit(0.39) * (words / sentences) + F.lit(11.8) * (spoken / words) - F.lit(15.59)
 
 
-def pronoun_columns(tokens: Column) -> dict[str, Column]:
+def pronoun_columns(
+    tokens: Column, words: tuple[str, ...] = PRONOUNS
+) -> dict[str, Column]:
     total = F.size(tokens)
     return {
         f"{word}_ratio": ratio(total - F.size(F.array_remove(tokens, word)), total)
-        for word in PRONOUNS
+        for word in words
     }
 
 

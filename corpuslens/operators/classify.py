@@ -8,14 +8,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+# Rows that one task should at least hold while a model iterates over them.
+ROWS_PER_TASK = 10_000
+
+
 def balanced(train: DataFrame, weight: str = "weight") -> tuple[DataFrame, int]:
-    """Weight n / (2 * class size) per row, and n. Only two counts reach the driver."""
+    """Weight n / (2 * class size) per row, and n. Only two counts reach the driver.
+
+    A solver runs one job per iteration; a few rows per task would make scheduling its
+    main cost, so small inputs are merged into fewer tasks. Large ones stay as they are.
+    """
     counts = {r["label"]: r["count"] for r in train.groupBy("label").count().collect()}
     if set(counts) != {0, 1}:
         raise ValueError(f"training rows need both classes, got {sorted(counts)}")
     n = sum(counts.values())
     per_class = F.when(F.col("label") == 1, n / (2 * counts[1])).otherwise(n / (2 * counts[0]))
-    return train.withColumn(weight, per_class), n
+    return train.withColumn(weight, per_class).coalesce(n // ROWS_PER_TASK + 1), n
 
 
 def fit_logistic(

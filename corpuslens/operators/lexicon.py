@@ -23,7 +23,7 @@ def variant_terms(variants: DataFrame) -> DataFrame:
 def meaningful(terms: DataFrame) -> DataFrame:
     """Keep terms longer than two characters that are all letters or hold a space."""
     term = F.col("term")
-    return terms.filter((F.length(term) > 2) & (term.rlike(r"^\p{L}+$") | term.contains(" ")))
+    return terms.filter((F.length(term) > 2) & (term.rlike(r"^\p{L}+\z") | term.contains(" ")))
 
 
 def build_lexicon(base: DataFrame, variants: DataFrame | None = None) -> DataFrame:

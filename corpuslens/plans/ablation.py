@@ -68,6 +68,6 @@ def run_ablation(
         )
 
     rows_scored = written(
-        _union(_parallel(scored, tasks, extractor.settings.parallel_fits)), "ablation"
+        _union(_parallel(rows.sparkSession, scored, tasks, extractor.settings.parallel_fits)), "ablation"
     )
     return evaluate(rows_scored, ["dataset", "experiment", "n_features"])

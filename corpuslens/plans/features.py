@@ -174,7 +174,9 @@ class FeatureExtractor(Estimator):
 
         names = sorted(tfidf.sizes())
         with ThreadPool(settings.parallel_fits) as pool:
-            found = pool.map(inheritable_thread_target(importances), names)
+            found = pool.map(
+                inheritable_thread_target(dataset.sparkSession)(importances), names, chunksize=1
+            )
         scored = found[0]
         for frame in found[1:]:
             scored = scored.unionByName(frame)

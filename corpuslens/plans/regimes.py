@@ -6,7 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, replace
 from multiprocessing.pool import ThreadPool
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.util import inheritable_thread_target
 
@@ -96,13 +96,13 @@ def run_regimes(
             "score",
         )
 
-    return written(_union(_parallel(scored, fits, extractor.settings.parallel_fits)), "scored")
+    return written(_union(_parallel(rows.sparkSession, scored, fits, extractor.settings.parallel_fits)), "scored")
 
 
-def _parallel(task: Callable, items: list, workers: int) -> list:
+def _parallel(spark: SparkSession, task: Callable, items: list, workers: int) -> list:
     """Run independent fits from a few driver threads; the work stays on executors."""
     with ThreadPool(workers) as pool:
-        return pool.map(inheritable_thread_target(task), items, chunksize=1)
+        return pool.map(inheritable_thread_target(spark)(task), items, chunksize=1)
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
