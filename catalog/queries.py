@@ -18,7 +18,7 @@ from corpuslens.operators.align import align_terms
 from corpuslens.operators.classify import fit_logistic, score
 from corpuslens.operators.dictionaries import sentiment_features, token_class_ratios
 from corpuslens.operators.lexicon import build_lexicon
-from corpuslens.operators.tfidf import TfidfEstimator, term_statistics, top_per_group
+from corpuslens.operators.tfidf import TfidfEstimator, term_statistics
 from corpuslens.plans import ablation as ab
 from corpuslens.plans import regimes as rg
 from corpuslens.plans.features import (
@@ -185,10 +185,8 @@ def ngrams(spark, sf):
 
 @query
 def tfidf_vocab(spark, sf):
-    stats = term_statistics(src.documents(spark, sf))
-    return top_per_group(
-        stats, "dataset", [F.desc("total"), F.asc("term")], "term", 10_000
-    ).select("dataset", "term", "total", "rank")
+    model = TfidfEstimator().fit(src.documents(spark, sf))
+    return model.state.select("dataset", "term", "total", "rank")
 
 
 @query

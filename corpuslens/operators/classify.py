@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 ROWS_PER_TASK = 10_000
 
 
-def balanced(train: DataFrame, weight: str = "weight") -> tuple[DataFrame, int]:
+def balanced(
+    train: DataFrame, weight: str = "weight", rows_per_task: int = ROWS_PER_TASK
+) -> tuple[DataFrame, int]:
     """Weight n / (2 * class size) per row, and n. Only two counts reach the driver.
 
     A solver runs one job per iteration; a few rows per task would make scheduling its
@@ -23,7 +25,7 @@ def balanced(train: DataFrame, weight: str = "weight") -> tuple[DataFrame, int]:
         raise ValueError(f"training rows need both classes, got {sorted(counts)}")
     n = sum(counts.values())
     per_class = F.when(F.col("label") == 1, n / (2 * counts[1])).otherwise(n / (2 * counts[0]))
-    return train.withColumn(weight, per_class).coalesce(n // ROWS_PER_TASK + 1), n
+    return train.withColumn(weight, per_class).coalesce(n // rows_per_task + 1), n
 
 
 def fit_logistic(

@@ -7,8 +7,11 @@ frequent terms of the corpus, ties by term; idf = ln((1+n)/(1+df)) + 1; weight =
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.ml import Estimator, Model
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpuslens.functions.text import flagged_terms, ngrams, with_tokens
@@ -16,23 +19,26 @@ from corpuslens.functions.vectors import sparse
 from corpuslens.session import sized
 
 
-def top_per_group(
-    df: DataFrame, group: str, order: list[Column], salt_on: str, k: int, salts: int = 64
-) -> DataFrame:
+def top_per_group(df: DataFrame, group: str, order: list[Column], k: int) -> DataFrame:
     """The first ``k`` rows of each group, with their ``rank``.
 
-    A group may hold most of the table, so candidates are first ranked within salted
-    shares of it: the final sort sees at most ``k * salts`` rows per group.
+    Evaluate it under ``early_limit``: every task then passes on at most ``k`` rows per
+    group, so a group that holds most of the table is never sorted whole in one place.
     """
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(salt_on), F.lit(salts)))
-    share = Window.partitionBy(group, "_salt").orderBy(*order)
-    candidates = (
-        salted.withColumn("rank", F.row_number().over(share))
-        .filter(F.col("rank") <= k)
-        .drop("_salt", "rank")
-    )
-    whole = Window.partitionBy(group).orderBy(*order)
-    return candidates.withColumn("rank", F.row_number().over(whole)).filter(F.col("rank") <= k)
+    per_group = Window.partitionBy(group).orderBy(*order)
+    return df.withColumn("rank", F.row_number().over(per_group)).filter(F.col("rank") <= k)
+
+
+@contextmanager
+def early_limit(spark: SparkSession, k: int) -> Iterator[None]:
+    """Let Catalyst cut ranked groups before the shuffle for limits up to ``k``."""
+    name = "spark.sql.optimizer.windowGroupLimitThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(max(int(before), k)))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def term_statistics(df: DataFrame, group: str = "dataset", text_col: str = "text") -> DataFrame:
@@ -52,9 +58,7 @@ def smoothed_idf(n_rows: Column, df: Column) -> Column:
 
 
 def vocabulary(stats: DataFrame, group: str, max_features: int) -> DataFrame:
-    return top_per_group(
-        stats, group, [F.desc("total"), F.asc("term")], "term", max_features
-    ).drop("rank")
+    return top_per_group(stats, group, [F.desc("total"), F.asc("term")], max_features)
 
 
 class TfidfEstimator(Estimator):
@@ -83,19 +87,21 @@ class TfidfEstimator(Estimator):
         state = chosen.join(sizes, group).select(
             group,
             "term",
+            "rank",
             (F.row_number().over(position) - 1).alias("index"),
             "total",
             "df",
             "n_rows",
             smoothed_idf(F.col("n_rows"), F.col("df")).alias("idf"),
         )
-        return TfidfModel(sized(state), self)
+        with early_limit(dataset.sparkSession, self.max_features):
+            return TfidfModel(sized(state), self)
 
 
 class TfidfModel(Model):
-    """Fitted vocabulary ``(group, term, index, total, df, n_rows, idf)``.
+    """Fitted vocabulary ``(group, term, rank, index, total, df, n_rows, idf)``.
 
-    ``index`` is the alphabetic position of a term, i.e. its column.
+    ``rank`` orders terms by count, ``index`` alphabetically, i.e. by column.
     """
 
     def __init__(self, state: DataFrame, settings: TfidfEstimator):

@@ -104,7 +104,7 @@ class Settings:
     trees: int = 100
     depth: int = 10
     seed: int = 42
-    parallel_fits: int = 4
+    parallel_fits: int = 8
 
 
 @dataclass(frozen=True)
