@@ -68,10 +68,7 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled documents as ``dataset, id, text, label``."""
-    rows = table(spark, sf_dir, "documents").select(
-        platform().alias("dataset"), F.col("doc_id").alias("id"), "text"
-    )
-    return spread(rows.join(labels(spark, sf_dir), "id"), "id").select(
+    return documents(spark, sf_dir).join(labels(spark, sf_dir), "id").select(
         "dataset", "id", "text", "label"
     )
 
@@ -110,8 +107,9 @@ def lexicon_hits(spark: SparkSession, rows: DataFrame) -> DataFrame:
 
 def lexicon_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean vector of the documents in which the lexicon occurs."""
-    hit = lexicon_hits(spark, documents(spark, sf_dir)).filter("hate_word_count > 0")
-    return centroids(embeddings(spark, sf_dir).join(hit.select("id"), "id", "left_semi"), [])
+    marked = lexicon_hits(spark, documents(spark, sf_dir)).select("id", "contains_hate_word")
+    located = embeddings(spark, sf_dir).join(marked, "id")
+    return centroids(located, [], weight="contains_hate_word")
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> Vectors:

@@ -289,7 +289,7 @@ BODIES: dict[str, str] = {
     "load_posts": "SELECT 'conversations' AS dataset, conv_id AS id, CASE turn WHEN 0 THEN 0 "
     "WHEN 1 THEN 1 END AS label, md5(coalesce(text, '')) AS text_md5 FROM conversations",
     "platform_union": "SELECT dataset, id, len(text) AS n_chars FROM docs",
-    "profile": "SELECT dataset, count(*) AS n_rows, sum(label)::BIGINT AS n_positive, "
+    "dataset_profile": "SELECT dataset, count(*) AS n_rows, sum(label)::BIGINT AS n_positive, "
     "round(avg(label), 6) AS positive_ratio FROM posts GROUP BY dataset",
     "lexicon_build": "SELECT DISTINCT lower(term) AS term FROM (SELECT term FROM base UNION ALL "
     "SELECT term || 's' FROM base WHERE term NOT LIKE '%s' UNION ALL "
@@ -303,11 +303,11 @@ BODIES: dict[str, str] = {
     "readability": f"SELECT id, {listed(['language_complexity_index'], REAL)} FROM grade",
     "lexicon_features": f"SELECT dataset, id, {listed(LEXICON_GROUP, REAL)} FROM lexicon",
     "sentiment": f"SELECT id, {listed(SENTIMENT_GROUP, REAL)} FROM sentiment",
-    "token_classes": f"SELECT id, {listed(RATIO_COLUMNS[:3], REAL)} FROM classes",
+    "token_class_ratios": f"SELECT id, {listed(RATIO_COLUMNS[:3], REAL)} FROM classes",
     "pronoun_ratios": "SELECT id, "
     + ", ".join(f"{r6(f'{w}_ratio')} AS {w}_ratio" for w in src.COUNTED_WORDS)
     + " FROM pronouns",
-    "source_flags": "SELECT id, "
+    "source_one_hot": "SELECT id, "
     + ", ".join(f"(dataset = '{d}')::INT AS source_{d}" for d in src.DATASETS)
     + " FROM docs",
     "label_feature_averages": "SELECT dataset, label, count(*) AS n_rows, "
@@ -354,7 +354,7 @@ BODIES: dict[str, str] = {
     "confusion": "SELECT dataset, fold, true_positives, true_negatives, false_positives, "
     "false_negatives FROM fold_counts",
     "confusion_pooled": "SELECT * FROM pooled",
-    "fold_metrics": "SELECT dataset, fold, true_positives, true_negatives, false_positives, "
+    "metrics": "SELECT dataset, fold, true_positives, true_negatives, false_positives, "
     f"false_negatives, {listed(FIVE, FIVE)} FROM fold_rows",
     "roc_auc": f"SELECT dataset, round(roc_auc, 6) AS roc_auc FROM ({auc('scored', 'dataset')})",
     "classification_report": "SELECT dataset, class, round(precision, 6) AS precision, "

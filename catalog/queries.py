@@ -22,6 +22,7 @@ from corpuslens.operators.tfidf import TfidfEstimator, term_statistics
 from corpuslens.plans import ablation as ab
 from corpuslens.plans import regimes as rg
 from corpuslens.plans.features import (
+    DENSE_COLUMNS,
     EMBEDDING_SCORES,
     LEXICAL_GROUP,
     LEXICON_GROUP,
@@ -41,7 +42,7 @@ KEYS = ["dataset", "id"]
 
 
 def query(fn):
-    QUERIES[fn.__name__] = fn
+    QUERIES[fn.__name__.removesuffix("_query")] = fn
     return fn
 
 
@@ -73,7 +74,7 @@ def platform_union(spark, sf):
 
 
 @query
-def profile(spark, sf):
+def dataset_profile_query(spark, sf):
     return rounded(dataset_profile(src.posts(spark, sf)), "positive_ratio")
 
 
@@ -144,7 +145,7 @@ def sentiment(spark, sf):
 
 
 @query
-def token_classes(spark, sf):
+def token_class_ratios_query(spark, sf):
     rows = token_class_ratios(
         tx.with_tokens(src.documents(spark, sf)), src.dictionaries(spark).classes, KEYS
     )
@@ -160,7 +161,7 @@ def pronoun_ratios(spark, sf):
 
 
 @query
-def source_flags(spark, sf):
+def source_one_hot_query(spark, sf):
     flags = source_one_hot(F.col("dataset"), tuple(src.DATASETS))
     return src.documents(spark, sf).select("id", *[c.alias(n) for n, c in flags.items()])
 
@@ -292,7 +293,7 @@ def feature_matrix(spark, sf):
     features = emb.similarity_to(features, vec.lexicon_centroid, "hate_lexicon_similarity")
     labelled = rows.drop("text").join(vec.rows, "id").join(src.labels(spark, sf), "id")
     features = emb.distance_to_neutral(features, emb.neutral_centroids(labelled)).fillna(0)
-    names = (*LEXICAL_GROUP, *LEXICON_GROUP, *SENTIMENT_GROUP, *RATIO_COLUMNS, *EMBEDDING_SCORES)
+    names = DENSE_COLUMNS
     real = [n for n, t in features.select(*names).dtypes if t == "double"]
     return rounded(features.select("dataset", "id", *names), *real)
 
@@ -367,7 +368,7 @@ def confusion_pooled(spark, sf):
 
 
 @query
-def fold_metrics(spark, sf):
+def metrics(spark, sf):
     return rounded(_fold_metrics(spark, sf), "accuracy", "precision", "recall", "f1", "roc_auc")
 
 

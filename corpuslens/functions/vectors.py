@@ -30,9 +30,10 @@ def cosine_distance(a: Column, b: Column) -> Column:
     return F.lit(1.0) - cosine_similarity(a, b)
 
 
-def mean_vector(array: Column) -> Column:
-    """Element-wise mean as an aggregate with map-side combine."""
-    return vector_to_array(Summarizer.mean(array_to_vector(array.cast("array<double>"))))
+def mean_vector(array: Column, weight: Column | None = None) -> Column:
+    """Element-wise (weighted) mean as an aggregate with map-side combine."""
+    vector = array_to_vector(array.cast("array<double>"))
+    return vector_to_array(Summarizer.mean(vector, weight))
 
 
 def expand(df: DataFrame, array: str, size: int, prefix: str = "embed_") -> DataFrame:

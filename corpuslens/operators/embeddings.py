@@ -56,14 +56,24 @@ def encode_with(
     return df.mapInPandas(encode, schema)
 
 
-def centroids(df: DataFrame, keys: list[str], array: str = "embedding") -> DataFrame:
-    """Mean vector per key; partial sums are combined before the shuffle."""
-    return df.groupBy(*keys).agg(mean_vector(F.col(array)).alias("centroid"))
+def centroids(
+    df: DataFrame, keys: list[str], array: str = "embedding", weight: str | None = None
+) -> DataFrame:
+    """Mean vector per key; partial sums are combined before the shuffle.
+
+    A 0/1 ``weight`` picks rows like a filter would, but Catalyst cannot move it in
+    front of a repartition of the rows it is computed from.
+    """
+    mean = mean_vector(F.col(array), F.col(weight).cast("double") if weight else None)
+    return df.groupBy(*keys).agg(mean.alias("centroid"))
 
 
 def similarity_to(df: DataFrame, centroid: DataFrame, name: str, array: str = "embedding") -> DataFrame:
-    """Cosine of each row's vector to a one-row ``centroid`` table (a scalar subquery)."""
-    center = centroid.select("centroid").scalar()
+    """Cosine of each row's vector to a one-row ``centroid`` table.
+
+    The row is settled first: as a scalar subquery it is then a constant of the plan.
+    """
+    center = sized(centroid.select("centroid"), 1).scalar()
     return (
         df.withColumn("_center", center)
         .withColumn(name, F.coalesce(cosine_similarity(F.col(array), F.col("_center")), F.lit(0.0)))

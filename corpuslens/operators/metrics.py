@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslens.functions.text import ratio
-from corpuslens.session import SMALL_TABLE_ROWS, sized, small_table, written
+from corpuslens.session import SMALL_TABLE_ROWS, sized, written
 
 # Metrics that are averaged over folds.
 FOLD_METRICS = ("f1", "accuracy", "precision", "recall", "roc_auc")
@@ -71,17 +71,14 @@ def roc_auc(
     per_score = scored.groupBy(*keys, "score").agg(
         F.sum(label).alias("pos"), F.sum(1 - label).alias("neg")
     )
-    table = small_table(per_score, small)
+    rows = written(per_score, "scores")
     ascending = Window.partitionBy(*keys).orderBy("score")
-    if table is not None:
-        rows = scored.sparkSession.createDataFrame(table, per_score.schema)
+    if rows.count() <= small:
         below = F.sum("neg").over(ascending) - F.col("neg")
         return _auc(F.col("below"), keys, rows.withColumn("below", below), one_class)
 
     ranges = written(
-        written(per_score, "scores")
-        .repartitionByRange(*keys, "score")
-        .withColumn("_range", F.spark_partition_id()),
+        rows.repartitionByRange(*keys, "score").withColumn("_range", F.spark_partition_id()),
         "ranges",
     )
     before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(
@@ -95,10 +92,10 @@ def roc_auc(
         )
     )
     within = Window.partitionBy(*keys, "_range").orderBy("score")
-    rows = ranges.join(offsets, [*keys, "_range"]).withColumn(
+    placed = ranges.join(offsets, [*keys, "_range"]).withColumn(
         "below", F.col("_before") + F.sum("neg").over(within) - F.col("neg")
     )
-    return _auc(F.col("below"), keys, rows, one_class)
+    return _auc(F.col("below"), keys, placed, one_class)
 
 
 def evaluate(scored: DataFrame, keys: list[str], one_class: float | None = 0.0) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from dataclasses import dataclass, field
 from multiprocessing.pool import ThreadPool
 
@@ -32,6 +33,8 @@ from corpuslens.operators.tfidf import TfidfEstimator, TfidfModel
 from corpuslens.session import sized
 from corpuslens.sources.readers import require_columns
 
+LOGGER = logging.getLogger(__name__)
+
 # Column names by feature group.
 LEXICAL_GROUP = (*LEXICAL, "language_complexity_index")
 LEXICON_GROUP = ("hate_word_count", "hate_word_ratio", "contains_hate_word")
@@ -49,6 +52,9 @@ SENTIMENT_GROUP = (
 )
 RATIO_COLUMNS = (*WORD_CLASSES.values(), *[f"{word}_ratio" for word in PRONOUNS])
 EMBEDDING_SCORES = ("hate_lexicon_similarity", "embedding_distance_to_neutral")
+DENSE_COLUMNS = (
+    *LEXICAL_GROUP, *LEXICON_GROUP, *SENTIMENT_GROUP, *RATIO_COLUMNS, *EMBEDDING_SCORES,
+)
 GROUPS = ("lexical", "hate_lexicon", "sentiment", "embedding", "tfidf")
 
 # Sources of the one-hot columns.
@@ -149,6 +155,11 @@ class FeatureExtractor(Estimator):
         group, settings = self.group_col, self.settings
         terms = tfidf.state.select(group, "term", "index")
         if settings.tfidf_selection_method != "random_forest":
+            if settings.tfidf_selection_method != "none":
+                LOGGER.warning(
+                    "unknown selection method %r: all terms are kept",
+                    settings.tfidf_selection_method,
+                )
             return terms.withColumns(
                 {"importance": F.lit(None).cast("double"), "rank": F.col("index") + 1}
             )
@@ -229,7 +240,7 @@ class FeatureModel(Model):
         rows = attach_embeddings(rows, vectors.rows, list(vectors.keys), vectors.size)
         rows = similarity_to(rows, vectors.lexicon_centroid, "hate_lexicon_similarity")
         rows = distance_to_neutral(rows, self.neutral, self.group_col)
-        return rows.drop("text", "clean", "tokens").fillna(0)
+        return rows.drop("text", "clean", "tokens").fillna(0, list(DENSE_COLUMNS))
 
     def selected_tfidf(self, dataset: DataFrame) -> DataFrame:
         """``(group, id, tfidf)``: unit-length weights cut to the selected terms.
