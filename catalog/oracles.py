@@ -144,6 +144,15 @@ CTES: dict[str, str] = {
     "AS term FROM said_kept) GROUP BY ALL",
     "said_raw": "SELECT dataset, id, term, (1 + ln(tf::DOUBLE)) * idf AS w FROM said_tf "
     "JOIN idf USING (dataset, term)",
+    "post_stats": "SELECT dataset, term, sum(tf) AS total, count(*) AS df FROM tf "
+    "JOIN lab USING (id) GROUP BY ALL",
+    "post_vocab": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dataset "
+    "ORDER BY total DESC, term) AS rank FROM post_stats) WHERE rank <= 10000",
+    "post_sizes": "SELECT dataset, count(*) AS n_rows FROM posts GROUP BY dataset",
+    "post_raw": "SELECT dataset, id, (1 + ln(tf::DOUBLE)) * (ln((1 + n_rows)::DOUBLE / (1 + df)) "
+    "+ 1) AS w FROM tf JOIN post_vocab USING (dataset, term) JOIN post_sizes USING (dataset)",
+    "post_cells": "SELECT id, count(*) AS cells, sum(w) / sqrt(sum(w * w)) AS total "
+    "FROM post_raw GROUP BY id",
     "emb": "SELECT vec_id AS id, embedding::DOUBLE[] AS embedding FROM embeddings",
     "cells": "SELECT id, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS pos FROM emb",
     "lexicon_center": "SELECT list(v ORDER BY pos) AS center FROM (SELECT pos, avg(v) AS v "
@@ -338,6 +347,13 @@ BODIES: dict[str, str] = {
     "round(CASE WHEN center IS NULL THEN 0.0 ELSE coalesce(distance, 1.0) END, 6) "
     f"AS embedding_distance_to_neutral FROM {ROW_FEATURES} LEFT JOIN alike USING (id) "
     "LEFT JOIN (SELECT id, distance FROM distance) USING (id) LEFT JOIN neutral USING (dataset)",
+    "extracted_features": "SELECT dataset, id, num_words, hate_word_count, "
+    "round(coalesce(similarity, 0.0), 6) AS hate_lexicon_similarity, "
+    "round(CASE WHEN center IS NULL THEN 0.0 ELSE coalesce(distance, 1.0) END, 6) "
+    "AS embedding_distance_to_neutral, coalesce(cells, 0) AS tfidf_cells, "
+    "round(coalesce(total, 0.0), 6) AS tfidf_total FROM lexical JOIN lexicon USING (dataset, id) "
+    "LEFT JOIN alike USING (id) LEFT JOIN (SELECT id, distance FROM distance) USING (id) "
+    "LEFT JOIN neutral USING (dataset) LEFT JOIN post_cells USING (id)",
     "fill_missing": "SELECT dataset, id, coalesce(quality, 0) AS quality, coalesce(toxic, 0) "
     "AS toxic FROM docs LEFT JOIN labels ON id = doc_id",
     "union_align": "SELECT dataset, id, len(text) AS doc_chars, 0 AS turn_chars FROM docs "

@@ -491,9 +491,26 @@ def nested_transfer(spark, sf):
 # Learning ------------------------------------------------------------------------------
 
 
-def extractor(spark, sf) -> FeatureExtractor:
+def extractor(spark, sf, **settings) -> FeatureExtractor:
     return FeatureExtractor(
-        src.dictionaries(spark), src.vectors(spark, sf), Settings(seed=src.SEED)
+        src.dictionaries(spark), src.vectors(spark, sf), Settings(seed=src.SEED, **settings)
+    )
+
+
+@query
+def extracted_features(spark, sf):
+    """Fitted on the labelled documents, all terms kept, applied to every document."""
+    plan = extractor(spark, sf, tfidf_selection_method="none")
+    rows = plan.fit(src.posts(spark, sf)).transform(src.documents(spark, sf))
+    total = F.aggregate("tfidf.values", F.lit(0.0), lambda a, x: a + x)
+    return rows.select(
+        "dataset",
+        "id",
+        "num_words",
+        "hate_word_count",
+        *[r6(F.col(c)).alias(c) for c in EMBEDDING_SCORES],
+        F.size("tfidf.indices").alias("tfidf_cells"),
+        r6(total).alias("tfidf_total"),
     )
 
 
@@ -505,14 +522,11 @@ def selected_terms(spark, sf):
 
 
 @query
-def extracted_features(spark, sf):
-    """Fitted on the labelled documents, applied to every document."""
+def selected_features(spark, sf):
+    """Number of selected cells of every document, from a model fitted on the labelled ones."""
     model = extractor(spark, sf).fit(src.posts(spark, sf))
-    rows = model.transform(src.documents(spark, sf))
-    return rows.select(
-        "dataset", "id", *LEXICON_GROUP, *EMBEDDING_SCORES,
-        F.size("tfidf.indices").alias("tfidf_cells"),
-    )
+    rows = model.selected_tfidf(src.documents(spark, sf))
+    return rows.select("dataset", "id", F.size("tfidf.indices").alias("tfidf_cells"))
 
 
 @query
