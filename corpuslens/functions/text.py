@@ -54,8 +54,13 @@ def text_or_empty(text: Column) -> Column:
 
 
 def clean_text(text: Column) -> Column:
-    """Lower-case, drop URLs, keep ``[a-z0-9]`` and single spaces."""
-    no_url = F.regexp_replace(F.lower(text_or_empty(text)), URL, " ")
+    """Lower-case, drop URLs, keep ``[a-z0-9]`` and single spaces.
+
+    Most texts hold no URL; a substring search spares them the URL pattern.
+    """
+    lower = F.lower(text_or_empty(text))
+    may_hold_url = lower.contains("://") | lower.contains("www.")
+    no_url = F.when(may_hold_url, F.regexp_replace(lower, URL, " ")).otherwise(lower)
     return F.trim(F.regexp_replace(no_url, NOT_ALNUM, " "))
 
 

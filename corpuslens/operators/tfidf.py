@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from contextlib import contextmanager
+from threading import Lock
 
 from pyspark.ml import Estimator, Model
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -29,16 +30,28 @@ def top_per_group(df: DataFrame, group: str, order: list[Column], k: int) -> Dat
     return df.withColumn("rank", F.row_number().over(per_group)).filter(F.col("rank") <= k)
 
 
+_threshold_lock = Lock()
+_threshold_users: list[str] = []
+
+
 @contextmanager
 def early_limit(spark: SparkSession, k: int) -> Iterator[None]:
-    """Let Catalyst cut ranked groups before the shuffle for limits up to ``k``."""
+    """Let Catalyst cut ranked groups before the shuffle for limits up to ``k``.
+
+    Fits may run side by side; the last one to leave restores the session's setting.
+    """
     name = "spark.sql.optimizer.windowGroupLimitThreshold"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(max(int(before), k)))
+    with _threshold_lock:
+        current = spark.conf.get(name)
+        _threshold_users.append(_threshold_users[0] if _threshold_users else current)
+        spark.conf.set(name, str(max(int(current), k)))
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        with _threshold_lock:
+            before = _threshold_users.pop()
+            if not _threshold_users:
+                spark.conf.set(name, before)
 
 
 def term_statistics(df: DataFrame, group: str = "dataset", text_col: str = "text") -> DataFrame:

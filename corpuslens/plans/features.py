@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import logging
 from dataclasses import dataclass, field
+from functools import reduce
 from multiprocessing.pool import ThreadPool
 
 import pyarrow as pa
@@ -188,9 +189,7 @@ class FeatureExtractor(Estimator):
             found = pool.map(
                 inheritable_thread_target(dataset.sparkSession)(importances), names, chunksize=1
             )
-        scored = found[0]
-        for frame in found[1:]:
-            scored = scored.unionByName(frame)
+        scored = reduce(DataFrame.unionByName, found)
         return sized(
             select_terms(terms.join(scored, [group, "index"]), settings.tfidf_n_selected, group)
         )

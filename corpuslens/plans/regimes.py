@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, replace
+from functools import reduce
 from multiprocessing.pool import ThreadPool
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -57,6 +58,7 @@ def run_regimes(
     k: int = 5,
     seed: int = 42,
     fit_scope: str = "train",
+    fold_mode: str = "exact",
     max_iter: int = 100,
 ) -> DataFrame:
     """Scored rows of every evaluation: keys, ``dataset, id, label, prediction, score``.
@@ -68,8 +70,10 @@ def run_regimes(
     """
     if fit_scope not in ("train", "all"):
         raise ValueError(f"unknown fit_scope {fit_scope!r}")
-    folded = written(stratified_folds(class_guard(rows), k, seed), "folds", "dataset", "fold")
-    datasets = [r["dataset"] for r in folded.select("dataset").distinct().orderBy("dataset").collect()]
+    drawn = stratified_folds(class_guard(rows), k, seed, mode=fold_mode)
+    folded = written(drawn, "folds", "dataset", "fold")
+    names = folded.select("dataset").distinct().collect()
+    datasets = sorted(r["dataset"] for r in names)
     fits = plan_fits(datasets, k, regimes)
     if not fits:
         raise ValueError("no dataset with two label classes")
@@ -106,10 +110,7 @@ def _parallel(spark: SparkSession, task: Callable, items: list, workers: int) ->
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
-    out = frames[0]
-    for frame in frames[1:]:
-        out = out.unionByName(frame)
-    return out
+    return reduce(DataFrame.unionByName, frames)
 
 
 def fold_metrics(scored: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -83,15 +84,15 @@ def load_dataset(
 def load_datasets(spark: SparkSession, paths: Mapping[str, str], **options) -> DataFrame:
     """Several named datasets in one table, told apart by ``dataset``."""
     frames = [load_dataset(spark, path, dataset=name, **options) for name, path in paths.items()]
-    return union_named(frames)
+    return reduce(DataFrame.unionByName, frames)
 
 
 def union_named(frames: list[DataFrame]) -> DataFrame:
     """Row-union by column name; a column absent from a frame is filled with 0."""
-    combined = frames[0]
-    for frame in frames[1:]:
-        combined = combined.unionByName(frame, allowMissingColumns=True)
-    return combined.fillna(0)
+    def join(above: DataFrame, below: DataFrame) -> DataFrame:
+        return above.unionByName(below, allowMissingColumns=True)
+
+    return reduce(join, frames).fillna(0)
 
 
 def load_lexicon(spark: SparkSession, path: str) -> DataFrame:
