@@ -71,6 +71,12 @@ def roc_auc(
     per_score = scored.groupBy(*keys, "score").agg(
         F.sum(label).alias("pos"), F.sum(1 - label).alias("neg")
     )
+    return _ranked_auc(per_score, keys, one_class, small)
+
+
+def _ranked_auc(
+    per_score: DataFrame, keys: list[str], one_class: float | None, small: int
+) -> DataFrame:
     rows = written(per_score, "scores")
     ascending = Window.partitionBy(*keys).orderBy("score")
     if rows.count() <= small:
@@ -99,10 +105,32 @@ def roc_auc(
 
 
 def evaluate(scored: DataFrame, keys: list[str], one_class: float | None = 0.0) -> DataFrame:
-    """Counts and all metrics per key."""
-    return with_metrics(confusion(scored, keys)).join(
-        sized(roc_auc(scored, keys, one_class)), keys
+    """Counts and all metrics per key, from a single pass over the scored rows."""
+    label = F.col("label").cast("bigint")
+    combined = written(
+        scored.groupBy(*keys, "score", "prediction").agg(
+            F.sum(label).alias("pos"), F.sum(1 - label).alias("neg")
+        ),
+        "evaluated",
+    )
+
+    def total(name: str, prediction: int) -> Column:
+        hits = F.when(F.col("prediction") == prediction, F.col(name)).otherwise(0)
+        return F.sum(hits)
+
+    counts = combined.groupBy(*keys).agg(
+        total("pos", 1).alias("true_positives"),
+        total("neg", 0).alias("true_negatives"),
+        total("neg", 1).alias("false_positives"),
+        total("pos", 0).alias("false_negatives"),
+    )
+    per_score = combined.groupBy(*keys, "score").agg(
+        F.sum("pos").alias("pos"), F.sum("neg").alias("neg")
     )
+    auc = _ranked_auc(per_score, keys, one_class, SMALL_TABLE_ROWS)
+    if not keys:
+        return with_metrics(counts).withColumn("roc_auc", auc.scalar())
+    return with_metrics(counts).join(sized(auc), keys)
 
 
 def classification_report(scored: DataFrame, keys: list[str]) -> DataFrame:
