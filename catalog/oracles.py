@@ -334,6 +334,13 @@ BODIES: dict[str, str] = {
     "WHERE dataset = 'p1' AND term IN (SELECT term FROM vocab WHERE dataset = 'p0')",
     "precomputed_embeddings": f"SELECT dataset, id, {src.EMBEDDING_SIZE} AS width, "
     "round(coalesce(embedding[1], 0.0), 6) AS embed_0 FROM docs LEFT JOIN emb USING (id)",
+    "encoded_embeddings": "SELECT id, "
+    + ", ".join(
+        f"round(((len(clean) - len(replace(clean, '{c}', '')))::DOUBLE / greatest(len(clean), 1))"
+        f"::FLOAT::DOUBLE, 4) AS embed_{i}"
+        for i, c in enumerate("aes")
+    )
+    + " FROM cleaned",
     "centroid": "SELECT label, pos - 1 AS position, round(avg(v), 6) AS value FROM cells "
     "JOIN (SELECT vec_id AS id, label FROM embeddings) USING (id) GROUP BY label, pos",
     "cosine_to_centroid": "SELECT id, round(similarity, 6) AS hate_lexicon_similarity FROM alike",

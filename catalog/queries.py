@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -271,6 +272,23 @@ def embedding_columns(spark, sf):
     return rows.select("id", *[r6(F.col(n).cast("double")).alias(n) for n in names])
 
 
+def _letter_shares():
+    """Stands for a user's text encoder: share of three letters in a text."""
+
+    def encode(texts: list[str]) -> np.ndarray:
+        return np.array([[t.count(c) / max(len(t), 1) for c in "aes"] for t in texts])
+
+    return encode
+
+
+@query
+def encoded_embeddings(spark, sf):
+    rows = src.documents(spark, sf).select("id", tx.clean_text(F.col("text")).alias("clean"))
+    encoded = emb.encode_with(rows, _letter_shares)
+    parts = [F.get("embedding", F.lit(i)).cast("double") for i in range(3)]
+    return encoded.select("id", *[F.round(p, 4).alias(f"embed_{i}") for i, p in enumerate(parts)])
+
+
 @query
 def word2vec_embeddings(spark, sf):
     """Document vectors learned from the labelled documents."""

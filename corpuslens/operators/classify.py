@@ -22,7 +22,7 @@ def balanced(
     """
     counts = {r["label"]: r["count"] for r in train.groupBy("label").count().collect()}
     if set(counts) != {0, 1}:
-        raise ValueError(f"training rows need both classes, got {sorted(counts)}")
+        raise ValueError(f"training rows need labels 0 and 1, got {list(counts)}")
     n = sum(counts.values())
     per_class = F.when(F.col("label") == 1, n / (2 * counts[1])).otherwise(n / (2 * counts[0]))
     return train.withColumn(weight, per_class).coalesce(n // rows_per_task + 1), n

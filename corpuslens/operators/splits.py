@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from corpuslens.session import sized
 
-BUCKET_DIGITS = 3
+# Each class is cut into 16 ** SHARE_DIGITS shares of similar size.
+SHARE_DIGITS = 3
 
 
 def draw(seed: int, id_col: str = "id") -> Column:
@@ -16,7 +17,7 @@ def draw(seed: int, id_col: str = "id") -> Column:
 
 
 def rank_in_class(
-    df: DataFrame, keys: list[str], seed: int, id_col: str = "id"
+    df: DataFrame, keys: list[str], seed: int, id_col: str = "id", digits: int = SHARE_DIGITS
 ) -> DataFrame:
     """Add ``class_rank`` (1..) in drawn order within ``keys``, and ``class_size``.
 
@@ -26,7 +27,7 @@ def rank_in_class(
     number of classes.
     """
     drawn = df.withColumn("_draw", draw(seed, id_col)).withColumn(
-        "_share", F.substring("_draw", 1, BUCKET_DIGITS)
+        "_share", F.substring("_draw", 1, digits)
     )
     shares = drawn.groupBy(*keys, "_share").agg(F.count("*").alias("_rows"))
     per_class = Window.partitionBy(*keys)
@@ -55,11 +56,12 @@ def stratified_folds(
     keys: tuple[str, ...] = ("dataset", "label"),
     id_col: str = "id",
     mode: str = "exact",
+    digits: int = SHARE_DIGITS,
 ) -> DataFrame:
     """Add ``fold`` in 1..k.
 
     ``exact``: class sizes per fold differ by at most one. ``hash``: no shuffle at all,
-    even only in expectation.
+    even only in expectation. More ``digits`` make the shares that tasks sort smaller.
     """
     if mode == "hash":
         slot = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(k))
@@ -67,7 +69,7 @@ def stratified_folds(
     if mode != "exact":
         raise ValueError(f"unknown fold mode {mode!r}")
     return (
-        rank_in_class(df, list(keys), seed, id_col)
+        rank_in_class(df, list(keys), seed, id_col, digits)
         .withColumn("fold", ((F.col("class_rank") - 1) % k + 1).cast("int"))
         .drop("class_rank", "class_size")
     )
@@ -79,10 +81,11 @@ def stratified_holdout(
     seed: int = 42,
     keys: tuple[str, ...] = ("dataset", "label"),
     id_col: str = "id",
+    digits: int = SHARE_DIGITS,
 ) -> DataFrame:
     """Add ``is_test``: the first ``round(share * size)`` drawn rows of each class."""
     return (
-        rank_in_class(df, list(keys), seed, id_col)
+        rank_in_class(df, list(keys), seed, id_col, digits)
         .withColumn(
             "is_test",
             (F.col("class_rank") <= F.round(F.lit(test_share) * F.col("class_size"))).cast("int"),

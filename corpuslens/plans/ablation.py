@@ -40,7 +40,8 @@ def run_ablation(
     Features are learned from the training rows of each dataset. Experiments whose
     feature groups are all empty are left out.
     """
-    split = written(stratified_holdout(class_guard(rows), test_share, seed), "holdout", "is_test")
+    labelled = class_guard(rows.filter(F.col("label").isNotNull()))
+    split = written(stratified_holdout(labelled, test_share, seed), "holdout", "is_test")
     train = split.filter("is_test = 0")
     model = extractor.fit(train)
     store = model.store(split, "dataset", "is_test")

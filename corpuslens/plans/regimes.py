@@ -65,12 +65,13 @@ def run_regimes(
 
     ``fit_scope="train"`` learns features from the training rows of each model alone.
     ``"all"`` learns them once per dataset from all its rows, before the folds are cut,
-    and shares them between all models. Either way a model is fitted once and its test
+    and shares them between all models. Rows without a label take no part. Either way a model is fitted once and its test
     rows of all folds are scored in one pass.
     """
     if fit_scope not in ("train", "all"):
         raise ValueError(f"unknown fit_scope {fit_scope!r}")
-    drawn = stratified_folds(class_guard(rows), k, seed, mode=fold_mode)
+    labelled = class_guard(rows.filter(F.col("label").isNotNull()))
+    drawn = stratified_folds(labelled, k, seed, mode=fold_mode)
     folded = written(drawn, "folds", "dataset", "fold")
     names = folded.select("dataset").distinct().collect()
     datasets = sorted(r["dataset"] for r in names)

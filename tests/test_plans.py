@@ -131,7 +131,9 @@ def test_planned_fits():
 @pytest.mark.parametrize("scope", ["all", "train"])
 def test_regimes(extractor, posts, scope, tmp_path):
     regimes = rg.REGIMES if scope == "all" else ("cross", "loo")
-    scored = rg.run_regimes(posts, extractor, regimes, k=2, fit_scope=scope, max_iter=10)
+    unlabelled = posts.limit(1).withColumns({"id": F.lit(-1).cast("bigint"), "label": F.lit(None).cast("int")})
+    rows = posts.unionByName(unlabelled)
+    scored = rg.run_regimes(rows, extractor, regimes, k=2, fit_scope=scope, max_iter=10)
     n = posts.count()
     counts = {r["regime"]: r["count"] for r in scored.groupBy("regime").count().collect()}
     # cross scores each row once per other dataset; the others score each row once.

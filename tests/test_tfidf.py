@@ -3,7 +3,13 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from corpuslens.operators.tfidf import TfidfEstimator, early_limit, top_per_group
+from corpuslens.operators.tfidf import (
+    TfidfEstimator,
+    early_limit,
+    term_statistics,
+    top_per_group,
+    vocabulary,
+)
 
 CORPUS = [("m", 0, "a red cat sat"), ("m", 1, "red cat red cat"), ("m", 2, "dog sat")]
 # doc, term, df, idf, weight
@@ -82,4 +88,12 @@ def test_ranked_groups_are_cut_before_the_shuffle(spark):
         top = top_per_group(df, "g", [F.desc("v")], 5000)
         plan = top._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2
+    assert [r["v"] for r in top.filter("g = 0 and rank <= 2").orderBy("rank").collect()] == [19_998, 19_996]
     assert spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold") == "1000"
+
+
+def test_vocabulary_is_cut_before_the_shuffle(spark, corpus):
+    with early_limit(spark, 10_000):
+        terms = vocabulary(term_statistics(corpus), "dataset", 10_000)
+        plan = terms._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") == 2
