@@ -559,9 +559,9 @@ def logistic_scores(spark, sf):
     )
 
 
-def _regime(spark, sf, *regimes: str) -> DataFrame:
+def _regime(spark, sf, *regimes: str, fit_scope: str = "all") -> DataFrame:
     scored = rg.run_regimes(
-        src.posts(spark, sf), extractor(spark, sf), regimes, seed=src.SEED, fit_scope="all"
+        src.posts(spark, sf), extractor(spark, sf), regimes, seed=src.SEED, fit_scope=fit_scope
     )
     summary = rg.overall_summary(scored)
     return rounded(summary, *[c for c in summary.columns if c.endswith(("_mean", "_std"))])
@@ -582,6 +582,12 @@ def regime_loo(spark, sf):
     return _regime(spark, sf, "loo")
 
 
+@query
+def regime_loo_train_scope(spark, sf):
+    """Features learned from the training rows of each model alone."""
+    return _regime(spark, sf, "loo", fit_scope="train")
+
+
 @query
 def regime_global(spark, sf):
     return _regime(spark, sf, "global")

@@ -62,23 +62,24 @@ GROUPS = ("lexical", "hate_lexicon", "sentiment", "embedding", "tfidf")
 SOURCES = ("twitter", "reddit", "4chan")
 
 
+GROUP_OF_COLUMN = {
+    **dict.fromkeys(LEXICAL_GROUP, "lexical"),
+    **dict.fromkeys(LEXICON_GROUP, "hate_lexicon"),
+    **dict.fromkeys(SENTIMENT_GROUP, "sentiment"),
+}
+GROUP_OF_PREFIX = {"tfidf": "tfidf", "sentiment": "sentiment"}
+
+
+def feature_group(column: str) -> str:
+    """Group of a feature column by its name; an unknown name counts as embedding."""
+    prefix = column.partition("_")[0]
+    return GROUP_OF_COLUMN.get(column) or GROUP_OF_PREFIX.get(prefix, "embedding")
+
+
 def identify_feature_groups(columns: list[str]) -> dict[str, list[str]]:
-    """Feature columns by group, from their names; an unknown name counts as embedding."""
-    groups: dict[str, list[str]] = {name: [] for name in GROUPS}
-    for column in columns:
-        if column == "label":
-            continue
-        if column.startswith("tfidf_"):
-            groups["tfidf"].append(column)
-        elif column in SENTIMENT_GROUP or column.startswith("sentiment_"):
-            groups["sentiment"].append(column)
-        elif column in LEXICON_GROUP:
-            groups["hate_lexicon"].append(column)
-        elif column in LEXICAL_GROUP:
-            groups["lexical"].append(column)
-        else:
-            groups["embedding"].append(column)
-    return groups
+    """Feature columns, i.e. all but ``label``, by group."""
+    features = [c for c in columns if c != "label"]
+    return {group: [c for c in features if feature_group(c) == group] for group in GROUPS}
 
 
 def source_one_hot(dataset: Column, sources: tuple[str, ...] = SOURCES) -> dict[str, Column]:
