@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslens.llm import bpe, decontaminate, exact, toxicity
+from corpuslens.llm import bpe, decontaminate, exact, jaccard, toxicity
 from corpuslens.llm.common import table
 from corpuslens.llm.queries import REJECT, VOCABULARY, token_digests, toxicity_model
 from corpuslens.session import written
@@ -23,6 +23,11 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact.keep_first(docs, exact.DigestIndex(spark))
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, that with the smallest id."""
+    return jaccard.keep_one(docs)
+
+
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark item."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
@@ -37,6 +42,7 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("toxicity", drop_toxic),
     ("exact_dedup", drop_copies),
+    ("near_copies", drop_near_copies),
     ("decontaminate", drop_leaks),
     ("bpe", tokenize),
 ]

@@ -18,11 +18,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpuslens.llm.common import ascii_lower, id_and_text
+from corpuslens.llm.groups import attach
 from corpuslens.session import new_table_path, written
 
-# A digest counts as hot if it holds more than this share of a batch, so there are fewer than 1 / HOT_SHARE of them.
-HOT_SHARE = 0.001
-
 
 def digest(text):
     return F.unhex(F.sha2(ascii_lower(F.coalesce(text, F.lit(""))), 256))
@@ -62,8 +60,10 @@ class DigestIndex:
             judged.where("known IS NULL").select("digest", F.col("last_id").alias("keep_id")),
             "append",
         )
-        decisions = self._spread(pairs, judged)
-        return decisions.select(
+        names = ["known", "known_id", "last_id", "group_size"]
+        rows = attach(pairs, judged, "digest", "group_size", names)
+        rows = rows.withColumn("copy", F.explode(F.expr("sequence(1, int(copies))")))
+        return rows.select(
             "doc_id",
             "digest",
             F.when(F.col("known"), F.col("known_id")).otherwise(F.col("last_id")).alias("keep_id"),
@@ -71,21 +71,6 @@ class DigestIndex:
             (F.col("known").isNull() & F.col("doc_id").eqNullSafe(F.col("last_id")) & (F.col("copy") == 1)).alias("kept"),
         )
 
-    def _spread(self, pairs: DataFrame, judged: DataFrame) -> DataFrame:
-        """Groups back to rows. Hot groups, fewer than a thousand, come by broadcast and leave the shuffle."""
-        names = ["known", "known_id", "last_id", "group_size"]
-        total = judged.agg(F.coalesce(F.sum("group_size"), F.lit(0))).first()[0]
-        hot = judged.where(F.col("group_size") > max(1, HOT_SHARE * total))
-        hot = hot.select(F.col("digest"), F.struct(*names).alias("hot"))
-        rows = pairs.join(F.broadcast(hot), "digest", "left")
-        # A row that has its group already gets a key of its own, so that no task gathers them.
-        key = F.when(F.col("hot").isNull(), F.col("digest")).otherwise(F.unhex(F.hex(F.xxhash64("doc_id"))))
-        rows = rows.withColumn("key", key)
-        cold = judged.select(F.col("digest").alias("key"), F.struct(*names).alias("cold"))
-        rows = rows.join(cold, "key", "left").withColumn("group", F.coalesce("hot", "cold"))
-        rows = rows.select("doc_id", "digest", "group.*", F.explode(F.expr("sequence(1, int(copies))")).alias("copy"))
-        return rows
-
 
 def keep_first(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that the index keeps, with all their columns."""

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslens.llm import bpe, decontaminate, exact, quality, sharding, toxicity
+from corpuslens.llm import bpe, decontaminate, exact, jaccard, quality, sharding, toxicity
 from corpuslens.llm.common import table
 from corpuslens.session import written
 
@@ -67,6 +67,10 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(quality.score(stats, quality.fit(stats, labels)), remainder(4) == 2)
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.Join(table(spark, sf_dir, "documents"), size=3, percent=90).groups()
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -77,6 +81,7 @@ QUERIES = {
     "op3_sharding": op3_sharding,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_quality": op8_quality,
+    "op9_jaccard_join": op9_jaccard_join,
     "op10_decontaminate": op10_decontaminate,
 }
 
