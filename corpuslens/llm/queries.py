@@ -6,12 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslens.llm import bpe, decontaminate, exact, jaccard, quality, sharding, toxicity
+from corpuslens.llm import bpe, decontaminate, exact, html, jaccard, lm_score, oracles, quality, sharding, toxicity, urls
 from corpuslens.llm.common import table
 from corpuslens.session import written
 
 # Scores from here on count as label 1.
 REJECT = 0.7
+# Verdict, host, path.
+URL_RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 SHARDS = tuple(f"shard-{i:02d}" for i in range(64))
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -56,6 +58,18 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"), "doc_id", SHARDS)
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(table(spark, sf_dir, "documents"))
+
+
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     decisions = exact.DigestIndex(spark).add(table(spark, sf_dir, "documents"))
     return decisions.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -79,6 +93,9 @@ QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_toxicity": op2_toxicity,
     "op3_sharding": op3_sharding,
+    "op4_lm_score": op4_lm_score,
+    "op5_html": op5_html,
+    "op6_url_filter": op6_url_filter,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_quality": op8_quality,
     "op9_jaccard_join": op9_jaccard_join,
@@ -86,11 +103,7 @@ QUERIES = {
 }
 
 ORACLES = {
-    "op7_exact_dedup": """
-        WITH d AS (
-            SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS h
-            FROM documents)
-        SELECT doc_id, max(doc_id) OVER (PARTITION BY h) AS keep_id, count(*) OVER (PARTITION BY h) AS group_size,
-               doc_id = max(doc_id) OVER (PARTITION BY h) AS kept, h AS text_sha256
-        FROM d""",
+    "op3_sharding": oracles.shards(SHARDS),
+    "op6_url_filter": oracles.url_filter(URL_RULES),
+    "op7_exact_dedup": oracles.EXACT,
 }
