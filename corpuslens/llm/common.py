@@ -42,7 +42,7 @@ def map_texts(
     return df.mapInArrow(run, schema)
 
 
-def pieces(batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:
+def pieces(batch: pa.RecordBatch, rows: int = 1024) -> Iterator[pa.RecordBatch]:
     """A batch in slices, so that only a few whole texts are Python objects at a time."""
     for start in range(0, batch.num_rows, rows):
         yield batch.slice(start, rows)
