@@ -25,7 +25,7 @@ SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 # Cuts a text where the split pattern must cut it too: at white space that does not lead a word.
 CHUNK = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]")
 # Words that a worker remembers.
-WORDS = 1_200_000
+WORDS = 500_000
 
 
 class Vocabulary:
