@@ -35,7 +35,7 @@ from corpuslens.session import written
 
 SKETCH_BITS = 1024
 # Rows of one key that are compared in one piece; a key with more is cut into blocks, and pairs of blocks are spread.
-BLOCK_ROWS = 1000
+BLOCK_ROWS = 256
 # Texts that are verified against one copy of another text.
 PER_COPY = 256
 
