@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpuslens.llm.common import ascii_lower, id_and_text
-from corpuslens.llm.groups import attach
+from corpuslens.llm.groups import attach, split_by
 from corpuslens.session import new_table_path, written
 
 
@@ -74,10 +74,14 @@ class DigestIndex:
 
 def keep_first(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that the index keeps, with all their columns."""
-    kept = index.add(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("kept_id"), "digest")
-    columns = docs.columns
-    rows = docs.select(F.struct(*columns).alias("row"), F.col(id_col).alias("row_id"), digest(F.col(text_col)).alias("row_digest"))
+    decisions = written(index.add(docs, id_col, text_col).select("doc_id", "digest", "kept"), "decisions")
+    # A row none of whose like is dropped stays where it is; only the others are looked up.
+    on = {"digest": digest(F.col(text_col)), "doc_id": F.col(id_col)}
+    doubtful, sure = split_by(docs, decisions.where("NOT kept"), on)
+    kept = decisions.where("kept").select(F.col("doc_id").alias("kept_id"), "digest")
+    rows = doubtful.select(F.struct("*").alias("row"), on["doc_id"].alias("row_id"), on["digest"].alias("row_digest"))
     rows = rows.join(kept, (F.col("row_digest") == F.col("digest")) & F.col("row_id").eqNullSafe(F.col("kept_id")), "left_semi")
     # Only rows that repeat with id and text share these keys.
     order = Window.partitionBy("row_digest", "row_id").orderBy(F.xxhash64("row"))
-    return rows.withColumn("copy", F.row_number().over(order)).where("copy = 1").select("row.*")
+    rows = rows.withColumn("copy", F.row_number().over(order)).where("copy = 1")
+    return sure.unionByName(rows.select("row.*"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpuslens.session import written
+
 # A group is hot with more than this share of the rows, so fewer than 1 / HOT_SHARE groups are broadcast.
 HOT_SHARE = 0.001
 
@@ -25,3 +27,26 @@ def attach(rows: DataFrame, groups: DataFrame, key: str, size: str, names: list[
     return rows.select(*(c for c in rows.columns if c[0] != "_"), F.coalesce("_hot", "_cold").alias("_group")).select(
         "*", *(F.col(f"_group.{name}") for name in names)
     ).drop("_group")
+
+
+# Bits of a bitmap of keys; it has at most BITMAP / 64 rows, whatever the number of keys.
+BITMAP = 1 << 20
+
+
+def split_by(rows: DataFrame, keys: DataFrame, on: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
+    """``rows`` that may have one of ``keys``, and ``rows`` that surely have none; neither is shuffled.
+
+    ``on`` has, by column name of ``keys``, the same value of a row. A bitmap of the keys' hashes is broadcast; what it
+    lets through is left for an exact join, which then shuffles few rows.
+    """
+
+    def place(*columns):
+        return F.pmod(F.xxhash64(*columns), F.lit(BITMAP))
+
+    word, bit = F.expr("_at DIV 64"), F.expr("shiftleft(1L, int(_at % 64))")
+    marks = keys.select(place(*map(F.col, on)).alias("_at")).select(word.alias("_word"), bit.alias("_bit"))
+    bitmap = written(marks.groupBy("_word").agg(F.bit_or("_bit").alias("_bits")), "bitmap")
+    packed = rows.select(F.struct("*").alias("_row"), place(*on.values()).alias("_at"))
+    packed = packed.withColumn("_word", word).join(F.broadcast(bitmap), "_word", "left")
+    hit = F.coalesce(F.col("_bits").bitwiseAND(bit) != 0, F.lit(False))
+    return packed.where(hit).select("_row.*"), packed.where(~hit).select("_row.*")

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from corpuslens.llm.common import Memo, id_and_text, map_texts
 from corpuslens.llm.components import connected
-from corpuslens.llm.groups import attach
+from corpuslens.llm.groups import attach, split_by
 from corpuslens.session import written
 
 SKETCH_BITS = 1024
@@ -165,10 +165,21 @@ def keys_in(hashes: np.ndarray, band: Band) -> np.ndarray:
     return np.unique(np.concatenate(found))
 
 
-def keys_of(hashes: np.ndarray, scheme: list[Band], lows: np.ndarray) -> np.ndarray:
-    """Keys in the set's own band and in the next, where it meets larger sets."""
-    at = int(np.searchsorted(lows, len(hashes), "right")) - 1
-    return np.concatenate([keys_in(hashes, band) for band in scheme[at : at + 2]])
+def keys_of(hashes: np.ndarray, scheme: list[Band], lows: np.ndarray, percent: int) -> np.ndarray:
+    """Keys in the set's own band and in the next, where it meets larger sets.
+
+    A band has segments for its largest sets. A smaller set differs less from any partner, so more than one of the
+    segments are equal in linked sets; it leaves out its largest keys, as many as it may: the smallest of the equal
+    segments' keys stays on both sides.
+    """
+    at, found = int(np.searchsorted(lows, len(hashes), "right")) - 1, []
+    for band in scheme[at : at + 2]:
+        largest = min(band.high, len(hashes) * 100 // percent)
+        if largest < band.low:
+            continue
+        keys, need = keys_in(hashes, band), difference(len(hashes) + largest, percent) + 1
+        found.append(np.partition(keys, need - 1)[:need] if not band.loose and need < len(keys) else keys)
+    return np.concatenate(found)
 
 
 class Join:
@@ -231,7 +242,7 @@ class Join:
 
     def _shared(self, sets: DataFrame, copies: DataFrame) -> DataFrame:
         """``key, node, first``: sets under keys that several sets have, and the smallest id under the key."""
-        size, scheme = self.size, self._scheme(sets)
+        size, percent, scheme = self.size, self.percent, self._scheme(sets)
         lows = np.array([band.low for band in scheme])
 
         def start():
@@ -242,7 +253,7 @@ class Join:
                 columns = [
                     pa.array([i for i, _ in rows], pa.int64()),
                     pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for _, s in rows], pa.binary()),
-                    pa.array([keys_of(s, scheme, lows).view(np.int64) for _, s in rows], pa.list_(pa.int64())),
+                    pa.array([keys_of(s, scheme, lows, percent).view(np.int64) for _, s in rows], pa.list_(pa.int64())),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "digest", "keys"])
 
@@ -256,10 +267,10 @@ class Join:
     def _roots(self, sets: DataFrame, copies: DataFrame, several: DataFrame) -> DataFrame:
         """``node, root`` of every node that links."""
         shared = self._shared(sets, copies)
-        nodes = shared.select("node").distinct()
+        nodes = written(shared.select("node").distinct(), "nodes")
         marks = written(sets.join(nodes, F.col("doc_id") == F.col("node"), "left_semi").select("doc_id", "n_shingles", "sketch"), "marks")
-        texts = self.texts.join(nodes, F.col("doc_id") == F.col("node"), "left_semi")
-        texts = written(texts, "texts")
+        texts, _ = split_by(self.texts, nodes, {"node": F.col("doc_id")})
+        texts = written(texts.join(nodes, F.col("doc_id") == F.col("node"), "left_semi"), "texts")
         # First round: at most one pair per set, with the most similar of the smallest ids under its keys.
         pairs = shared.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
         pairs = self._plausible(pairs, marks).groupBy("b").agg(F.min_by("a", F.struct("apart", "a")).alias("a"))
@@ -412,5 +423,7 @@ def keep_one(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "d
     """The rows of ``docs`` without documents that reach one of smaller id by links; all columns stay."""
     groups = Join(docs, size, percent, id_col, text_col).groups()
     dropped = written(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("dropped_id")).distinct(), "dropped")
-    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("row_id"))
-    return rows.join(dropped, F.col("row_id") == F.col("dropped_id"), "left_anti").select("row.*")
+    doubtful, sure = split_by(docs, dropped, {"dropped_id": F.col(id_col)})
+    rows = doubtful.select(F.struct("*").alias("row"), F.col(id_col).alias("row_id"))
+    rows = rows.join(dropped, F.col("row_id") == F.col("dropped_id"), "left_anti")
+    return sure.unionByName(rows.select("row.*"))

@@ -35,12 +35,14 @@ SHORTEST, LONGEST = 3, 16
 # Strength of a prefix's prior, in tokens.
 PRIOR = 10.0
 EULER = 0.5772156649
+# Bounds of the evidence, so that a few mislabelled documents do not bend the logistic curve.
+LEAST, ENOUGH = -15.0, 9.0
 END = "\0"
 
 
 def prefixes(word: str) -> list[str]:
-    """Stems from short to long, then the whole word with its end marked."""
-    return [word[:n] for n in range(SHORTEST, min(len(word), LONGEST) + 1)] + [word + END]
+    """Beginnings that the word goes beyond, from short to long, then the whole word with its end marked."""
+    return [word[:n] for n in range(SHORTEST, min(len(word) - 1, LONGEST) + 1)] + [word + END]
 
 
 class Weights:
@@ -63,7 +65,7 @@ class Weights:
         shares, kept = {}, {}
         for stem in sorted(counts, key=lambda s: (len(s), s)):
             body = stem.removesuffix(END)
-            parents = (body[:n] for n in range(len(stem) - 1, SHORTEST - 1, -1))
+            parents = (body[:n] for n in range(len(body) - 1, SHORTEST - 1, -1))
             prior = next((shares[p] for p in parents if p in shares), base)
             t, c = counts[stem]
             share = shares[stem] = (t + PRIOR * prior) / (t + c + PRIOR)
@@ -117,10 +119,10 @@ class Model:
         return [(a, b, s, self.decay * s - length) for a, b, s in segments(places, weights - self.drift, self.drift)]
 
     def evidence(self, n_words: int, places, weights) -> float:
-        """Excess of all significant passages, or of the best if none is."""
+        """Excess of all significant passages, or of the best if none is; beyond ``ENOUGH`` it counts by its logarithm."""
         excess = [e for *_, e in self.passages(n_words, places, weights)]
-        significant = sum(e for e in excess if e > 0)
-        return min(60.0, max(-15.0, significant or max(excess, default=-15.0)))
+        total = sum(e for e in excess if e > 0) or max(excess, default=LEAST)
+        return max(LEAST, min(total, ENOUGH) + math.log1p(max(0.0, total - ENOUGH)))
 
     def probability(self, evidence):
         return 1 / (1 + np.exp(-(self.slope * np.asarray(evidence) + self.offset)))
@@ -182,16 +184,15 @@ def _stem_counts(train: DataFrame) -> dict[str, np.ndarray]:
         *[F.count(F.when((F.col("half") == h) & (F.col("label") == k), 1)).alias(f"n{h}{k}") for h in (0, 1) for k in (0, 1)]
     )
     names = ["n00", "n01", "n10", "n11"]
-    lengths = F.sequence(F.lit(SHORTEST), F.least(F.length("word"), F.lit(LONGEST)))
-    stems = F.when(F.length("word") >= SHORTEST, F.transform(lengths, lambda n: F.expr("word").substr(F.lit(1), n)))
+    lengths = F.sequence(F.lit(SHORTEST), F.least(F.length("word") - 1, F.lit(LONGEST)))
+    stems = F.when(F.length("word") > SHORTEST, F.transform(lengths, lambda n: F.expr("word").substr(F.lit(1), n)))
     stems = F.concat(F.coalesce(stems, F.array().cast("array<string>")), F.array(F.concat("word", F.lit(END))))
     rows = words.select(F.explode(stems).alias("stem"), *names).groupBy("stem").agg(*[F.sum(n).alias(n) for n in names])
     rows = written(rows.where("n00 + n01 + n10 + n11 >= 3"), "stems")
     total = written(words.agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names]), "totals").first()
     share = (total.n01 + total.n11) / max(1, sum(total))
     leaning = rows.where((F.expr("n01 + n11") >= 3) & (F.expr("(n01 + n11) / (n00 + n01 + n10 + n11)") > 2 * share))
-    body = F.regexp_replace("stem", END, "")
-    parent = F.when(F.col("stem").endswith(END), body).otherwise(F.expr("substr(stem, 1, length(stem) - 1)"))
+    parent = F.expr("substr(stem, 1, length(stem) - if(endswith(stem, '{}'), 2, 1))".format(END))
     below = rows.withColumn("parent", parent).join(leaning.select(F.col("stem").alias("parent")), "parent", "left_semi")
     # Bounded by the sample: each stem has three toxic tokens, or follows one that has.
     kept = leaning.unionByName(below.drop("parent")).distinct().toArrow().to_pydict()
