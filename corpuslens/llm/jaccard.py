@@ -20,6 +20,7 @@ so other columns cannot clash.
 from __future__ import annotations
 
 import hashlib
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,7 +34,8 @@ from corpuslens.llm.components import connected
 from corpuslens.llm.groups import attach, split_by
 from corpuslens.session import written
 
-SKETCH_BITS = 1024
+# A sketch has at least so many bits, and at least two per element.
+SKETCH_BITS = 512
 # Rows of one key that are compared in one piece; a key with more is cut into blocks, and pairs of blocks are spread.
 BLOCK_ROWS = 256
 # Texts that are verified against one copy of another text.
@@ -81,10 +83,18 @@ class Hasher:
 
 def sketch(hashes: np.ndarray) -> np.ndarray:
     """Parity of the number of elements per bit; two sketches differ in at most as many bits as the sets in elements."""
-    odd = np.bincount((hashes % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
+    bits = max(SKETCH_BITS, 1 << int(2 * len(hashes) - 1).bit_length()) if len(hashes) else SKETCH_BITS
+    odd = np.bincount((hashes % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def folded(marks: np.ndarray, size: int) -> np.ndarray:
+    """A sketch as it would be with ``size`` words: halves are added."""
+    while len(marks) > size:
+        marks = marks[: len(marks) // 2] ^ marks[len(marks) // 2 :]
+    return marks
+
+
 @dataclass(frozen=True)
 class Band:
     """Sizes ``low..high`` and the segments in which sets up to ``high`` are compared."""
@@ -92,7 +102,7 @@ class Band:
     number: int
     low: int
     high: int
-    plain: int
+    plain: int  # segments with budget 0
     loose: int  # segments with budget 1
 
     @property
@@ -105,25 +115,35 @@ def difference(total: int, percent: int) -> int:
     return total * (100 - percent) // (100 + percent)
 
 
+def spare(need: int) -> int:
+    """Plain segments beyond those needed, so that a set may leave out its emptiest."""
+    return 1 + need // 8
+
+
 def allocate(high: int, count: int, percent: int) -> tuple[int, int]:
     """Segments of budget 0 and 1 for sets of about ``high`` elements, ``count`` of them, at the least cost.
 
-    Cost is the number of keys, plus the pairs that meet by accident because a segment is empty in both sets (budget 0)
-    or has one element at most (budget 1).
+    Cost is the number of keys, plus the pairs that meet by accident: because each has more empty segments than it may
+    leave out (budget 0), or one element at most in the same segment (budget 1).
     """
     need = difference(2 * high, percent) + 1
-    steps = sorted({0, 1, need // 4, need // 2, (need + 1) // 2} & set(range((need + 1) // 2 + 1)))
+    steps = sorted({0, need // 4, need // 2, (need + 1) // 2})
 
     def cost(loose: int) -> float:
-        plain = max(0, need - 2 * loose)
+        plain = max(0, need - 2 * loose) if loose else need + spare(need)
         share = 1 / (plain + loose)
-        keys = plain + loose * (1 + high * share)
         none, one = (1 - share) ** high, high * share * (1 - share) ** (high - 1)
-        meet = plain * none**2 + loose * (none + one) ** 2
-        return count * keys + count * count * meet / 2
+        if not loose:
+            empty = plain * none
+            # Poisson: chance of more empty segments than spare ones.
+            few, term = 0.0, math.exp(-empty)
+            for k in range(spare(need) + 1):
+                few, term = few + term, term * empty / (k + 1)
+            return count * need + (count * max(0.0, 1 - few)) ** 2 / 2
+        return count * (plain + loose * (1 + high * share)) + count * count * (plain * none**2 + loose * (none + one) ** 2) / 2
 
     loose = min(steps, key=cost)
-    return max(0, need - 2 * loose), loose
+    return (max(0, need - 2 * loose), loose) if loose else (need + spare(need), 0)
 
 
 def bands(largest: int, counts: dict[int, int], percent: int) -> list[Band]:
@@ -144,41 +164,42 @@ def edges(largest: int, percent: int) -> list[tuple[int, int]]:
     return found
 
 
-def keys_in(hashes: np.ndarray, band: Band) -> np.ndarray:
-    """Keys of a set in the segments of a band."""
+def keys_in(hashes: np.ndarray, band: Band, need: int) -> np.ndarray:
+    """Keys of a set in the segments of a band.
+
+    Without segments of budget 1 there are more than ``need``, and the set gives only those of its fullest segments, ties
+    by key. Linked sets have more equal segments than a set leaves out, and an equal segment ranks alike in both sets; so
+    the first of the equal ones is given by both.
+    """
     segment = ((hashes >> np.uint64(32)) % np.uint64(band.segments)).astype(np.int64)
     element = mix(hashes + np.uint64(0x9E3779B97F4A7C15))
-    half = np.uint64(32)
-    sums = [np.bincount(segment, part.astype(float), band.segments) for part in (element >> half, element & np.uint64(2**32 - 1))]
+    half, low_half = np.uint64(32), np.uint64(2**32 - 1)
     # Sums of 32-bit parts are exact; together they stand for the subset.
-    high, low = (s.astype(np.uint64) for s in sums)
+    high, low = (
+        np.bincount(segment, part.astype(float), band.segments).astype(np.uint64) for part in (element >> half, element & low_half)
+    )
 
     def key(high, low, segment):
         place = segment.astype(np.uint64) + np.uint64(band.number << 40)
         return mix(mix(high + np.uint64(0x632BE59BD9B4E019) * (place + np.uint64(1))) + low)
 
-    found = [key(high, low, np.arange(band.segments))]
+    keys = key(high, low, np.arange(band.segments))
+    if not band.loose:
+        sizes = np.bincount(segment, minlength=band.segments)
+        return keys[np.lexsort((keys, -sizes))[:need]]
     loose = segment >= band.plain
-    if loose.any():
-        at = segment[loose]
-        found.append(key(high[at] - (element[loose] >> half), low[at] - (element[loose] & np.uint64(2**32 - 1)), at))
-    return np.unique(np.concatenate(found))
+    at, parts = segment[loose], element[loose]
+    return np.unique(np.concatenate([keys, key(high[at] - (parts >> half), low[at] - (parts & low_half), at)]))
 
 
 def keys_of(hashes: np.ndarray, scheme: list[Band], lows: np.ndarray, percent: int) -> np.ndarray:
-    """Keys in the set's own band and in the next, where it meets larger sets.
-
-    A band has segments for its largest sets. A smaller set differs less from any partner, so more than one of the
-    segments are equal in linked sets; it leaves out its largest keys, as many as it may: the smallest of the equal
-    segments' keys stays on both sides.
-    """
+    """Keys in the set's own band and in the next, where it meets larger sets."""
     at, found = int(np.searchsorted(lows, len(hashes), "right")) - 1, []
     for band in scheme[at : at + 2]:
+        # The largest partner in the band fixes the most elements in which the two may differ.
         largest = min(band.high, len(hashes) * 100 // percent)
-        if largest < band.low:
-            continue
-        keys, need = keys_in(hashes, band), difference(len(hashes) + largest, percent) + 1
-        found.append(np.partition(keys, need - 1)[:need] if not band.loose and need < len(keys) else keys)
+        if largest >= band.low:
+            found.append(keys_in(hashes, band, difference(len(hashes) + largest, percent) + 1))
     return np.concatenate(found)
 
 
@@ -269,12 +290,10 @@ class Join:
         shared = self._shared(sets, copies)
         nodes = written(shared.select("node").distinct(), "nodes")
         marks = written(sets.join(nodes, F.col("doc_id") == F.col("node"), "left_semi").select("doc_id", "n_shingles", "sketch"), "marks")
-        texts, _ = split_by(self.texts, nodes, {"node": F.col("doc_id")})
-        texts = written(texts.join(nodes, F.col("doc_id") == F.col("node"), "left_semi"), "texts")
         # First round: at most one pair per set, with the most similar of the smallest ids under its keys.
         pairs = shared.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
         pairs = self._plausible(pairs, marks).groupBy("b").agg(F.min_by("a", F.struct("apart", "a")).alias("a"))
-        tree = written(self._verified(pairs, texts), "tree")
+        tree = written(self._verified(pairs), "tree")
         up = tree.select(F.col("b").alias("node"), F.col("a").alias("root"))
         # A parent has a smaller id, so two steps up shorten the tree; any part of a group is enough here.
         for _ in range(2):
@@ -283,7 +302,7 @@ class Join:
         up = written(up, "up")
         # Second round: sets of different parts under one key.
         pairs = self._across(shared, up, marks)
-        links = written(self._verified(pairs, texts), "links")
+        links = written(self._verified(pairs), "links")
         ends = links.unionByName(tree).unionByName(several)
         for side in ("a", "b"):
             ends = ends.join(up.select(F.col("node").alias(side), F.col("root").alias(f"up_{side}")), side, "left")
@@ -298,11 +317,17 @@ class Join:
         for side in ("a", "b"):
             own = marks.select(F.col("doc_id").alias(side), F.col("n_shingles").alias(f"n_{side}"), F.col("sketch").alias(f"s_{side}"))
             pairs = pairs.join(own, side)
-        apart = sum((F.bit_count(F.col("s_a")[i].bitwiseXOR(F.col("s_b")[i])) for i in range(SKETCH_BITS // 64)), F.lit(0))
         p = self.percent
-        pairs = pairs.withColumn("apart", apart)
-        sizes = f"100 * least(n_a, n_b) >= {p} * greatest(n_a, n_b)"
-        return pairs.where(sizes).where(f"apart <= (n_a + n_b) * {100 - p} DIV {100 + p}").select("a", "b", "apart")
+        pairs = pairs.where(f"100 * least(n_a, n_b) >= {p} * greatest(n_a, n_b)").withColumn("words", F.expr("least(size(s_a), size(s_b))"))
+
+        def fold(name):
+            # Sizes near each other have sketches of one length, or of one and its double.
+            halves = F.zip_with(F.slice(name, 1, F.col("words")), F.slice(name, F.col("words") + 1, F.col("words")), lambda x, y: x.bitwiseXOR(y))
+            return F.when(F.size(name) > F.col("words"), halves).otherwise(F.col(name))
+
+        bits = F.zip_with(fold("s_a"), fold("s_b"), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+        pairs = pairs.select("a", "b", "n_a", "n_b", F.aggregate(bits, F.lit(0), lambda total, x: total + x).alias("apart"))
+        return pairs.where(f"apart <= (n_a + n_b) * {100 - p} DIV {100 + p}").select("a", "b", "apart")
 
     def _across(self, shared: DataFrame, up: DataFrame, marks: DataFrame) -> DataFrame:
         """Plausible pairs under one key whose ends are not yet in one part."""
@@ -324,10 +349,13 @@ class Join:
 
         return rows.mapInArrow(compare, "a long, b long").distinct()
 
-    def _verified(self, pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    def _verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs that link, by their words. A text meets many others in several copies, spread over tasks."""
         size, percent = self.size, self.percent
         pairs = written(pairs.select("a", "b"), "pairs")
+        ends = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ends")
+        texts, _ = split_by(self.texts, ends, {"node": F.col("doc_id")})
+        texts = written(texts.join(ends, F.col("doc_id") == F.col("node"), "left_semi"), "texts")
         many = pairs.groupBy("a").agg(F.expr(f"int(ceil(count(*) / {PER_COPY}))").alias("parts"))
         pairs = pairs.join(many, "a").select("a", F.expr("int(pmod(xxhash64(b), parts))").alias("part"), "b")
         heads = pairs.select("a", "part").distinct().join(texts, F.col("a") == F.col("doc_id")).select("a", "part", F.lit(None).cast("long").alias("b"), "text")
@@ -387,7 +415,9 @@ def _blocks(batches):
         if not batch.num_rows:
             continue
         key, i, j, own, node, part, n = (batch.column(c).to_numpy() for c in range(7))
-        marks = batch.column(7).flatten().to_numpy().reshape(len(key), -1).view(np.uint64)
+        words, ends = batch.column(7).values.to_numpy(), batch.column(7).offsets.to_numpy()
+        marks = np.empty(len(key), object)
+        marks[:] = [words[x:y].view(np.uint64) for x, y in zip(ends[:-1], ends[1:])]
         starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
         for a, b in zip(starts, [*starts[1:], len(key)]):
             here = (key[a], i[a], j[a])
@@ -402,6 +432,8 @@ def _blocks(batches):
 
 def _close_pairs(block, percent: int):
     (_, i, j), (own, node, part, n, marks) = block
+    size = min(map(len, marks))
+    marks = np.stack([folded(x, size) for x in marks])
     left = np.flatnonzero(own == i)
     right = np.flatnonzero(own == j)
     pairs = set()

@@ -98,7 +98,7 @@ def test_empty_table(spark):
 @pytest.mark.parametrize("percent", [60, 80, 90])
 def test_linked_sets_share_a_key(percent):
     draw = np.random.default_rng(5)
-    for count in (1, 10**7):
+    for count in (1, 10**9):
         scheme = jaccard.bands(400, defaultdict(lambda: count), percent)
         lows = np.array([band.low for band in scheme])
         for _ in range(150):
@@ -113,15 +113,17 @@ def test_linked_sets_share_a_key(percent):
 
 def test_budgets_follow_cost():
     assert jaccard.allocate(10, 10, 90)[1] == 0
-    assert jaccard.allocate(10, 10**7, 90)[1] > 0
+    assert jaccard.allocate(10, 10**9, 90)[1] > 0
 
 
 def test_sketches_bound_the_difference():
     draw = np.random.default_rng(1)
-    for _ in range(50):
-        a, b = (np.unique(draw.integers(0, 500, 300).astype(np.uint64)) for _ in range(2))
-        apart = np.bitwise_count(jaccard.sketch(a).view(np.uint64) ^ jaccard.sketch(b).view(np.uint64)).sum()
-        assert apart <= len(np.setxor1d(a, b))
+    for size in (0, 3, 100, 300, 900):
+        for more in (1, 1.2):
+            a, b = (np.unique(draw.integers(0, 500, int(n)).astype(np.uint64) * 7919) for n in (size, size * more))
+            words = min(len(jaccard.sketch(a)), len(jaccard.sketch(b)))
+            a_marks, b_marks = (jaccard.folded(jaccard.sketch(x), words).view(np.uint64) for x in (a, b))
+            assert np.bitwise_count(a_marks ^ b_marks).sum() <= len(np.setxor1d(a, b))
 
 
 def test_runs_over_any_batches():
