@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpuslens.functions.text import with_tokens
 from corpuslens.operators.dictionaries import lexicon_features
 from corpuslens.operators.embeddings import centroids
+from corpuslens.plans.ablation import EXPERIMENTS as ABLATIONS
 from corpuslens.plans.features import Dictionaries, Vectors
 from corpuslens.sources.readers import spread
 
@@ -35,11 +36,12 @@ SEED = 42
 
 # Stand-ins for trained experiments: a row is positive if it has at least ``hits`` lexicon
 # hits and at most ``words`` words.
-EXPERIMENTS = (
-    ("A_FULL", 1, 100000), ("B_TFIDF_ONLY", 2, 100000), ("C_LEXICAL_ONLY", 1, 400),
-    ("D_HATE_LEXICON_ONLY", 1, 800), ("E_SENTIMENT_ONLY", 3, 100000),
-    ("F_EMBEDDING_ONLY", 0, 100), ("G_NO_TFIDF", 2, 800), ("H_NO_LEXICAL", 0, 200),
-    ("I_NO_HATE_LEXICON", 0, 50), ("J_NO_SENTIMENT", 1, 300), ("K_NO_EMBEDDING", 1, 100000),
+EXPERIMENTS = tuple(
+    zip(
+        ABLATIONS,
+        (1, 2, 1, 1, 3, 0, 2, 0, 0, 1, 1),
+        (100000, 100000, 400, 800, 100000, 100, 800, 200, 50, 300, 100000),
+    )
 )
 
 
@@ -100,9 +102,21 @@ def dictionaries(spark: SparkSession) -> Dictionaries:
     )
 
 
+def large_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half the words of all documents, with scores and classes that follow their lengths."""
+    words = with_tokens(documents(spark, sf_dir)).select(F.explode("tokens").alias("word")).distinct()
+    size = F.length("word")
+    return words.filter(size % 2 == 0).select(
+        "word",
+        (size % 7 / 4 - 0.75).alias("polarity"),
+        (size % 5 / 4).alias("subjectivity"),
+        F.element_at(F.array(*map(F.lit, ("NOUN", "VERB", "ADJ", "OTHER"))), (size / 2 % 4 + 1).cast("int")).alias("class"),
+    )
+
+
 def lexicon_hits(spark: SparkSession, rows: DataFrame) -> DataFrame:
     """Rows with tokens and lexicon features."""
-    return lexicon_features(with_tokens(rows), lexicon(spark), ["dataset", "id"])
+    return lexicon_features(with_tokens(rows), lexicon(spark))
 
 
 def lexicon_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -295,11 +295,12 @@ def mean_std(name: str) -> str:
 
 
 BODIES: dict[str, str] = {
-    "load_posts": "SELECT 'conversations' AS dataset, conv_id AS id, CASE turn WHEN 0 THEN 0 "
-    "WHEN 1 THEN 1 END AS label, md5(coalesce(text, '')) AS text_md5 FROM conversations",
+    "load_posts": "SELECT 'documents' AS dataset, doc_id AS id, toxic AS label, "
+    "md5(coalesce(text, '')) AS text_md5 FROM documents JOIN labels USING (doc_id)",
     "platform_union": "SELECT dataset, id, len(text) AS n_chars FROM docs",
     "dataset_profile": "SELECT dataset, count(*) AS n_rows, sum(label)::BIGINT AS n_positive, "
-    "round(avg(label), 6) AS positive_ratio FROM posts GROUP BY dataset",
+    "count(*) - count(label) AS n_unlabelled, round(avg(label), 6) AS positive_ratio "
+    "FROM posts GROUP BY dataset",
     "lexicon_build": "SELECT DISTINCT lower(term) AS term FROM (SELECT term FROM base UNION ALL "
     "SELECT term || 's' FROM base WHERE term NOT LIKE '%s' UNION ALL "
     "SELECT translate(term, 'aeo', '430') FROM base UNION ALL SELECT term || 'z' FROM base) "
@@ -313,6 +314,19 @@ BODIES: dict[str, str] = {
     "lexicon_features": f"SELECT dataset, id, {listed(LEXICON_GROUP, REAL)} FROM lexicon",
     "sentiment": f"SELECT id, {listed(SENTIMENT_GROUP, REAL)} FROM sentiment",
     "token_class_ratios": f"SELECT id, {listed(RATIO_COLUMNS[:3], REAL)} FROM classes",
+    "lexicon_features_large": f"SELECT dataset, id, {listed(LEXICON_GROUP, REAL)} FROM big_lexicon",
+    "sentiment_large": f"SELECT id, {listed(SENTIMENT_GROUP, REAL)} FROM big_sentiment",
+    "token_classes_large": f"SELECT id, {listed(RATIO_COLUMNS[:3], REAL)} FROM big_classes",
+    "word2vec_embeddings": "SELECT dataset, id, 16 AS width, (n_frequent IS NULL)::INT AS is_zero "
+    "FROM docs LEFT JOIN (SELECT id, count(*) AS n_frequent FROM word_counts JOIN (SELECT word "
+    "FROM word_counts GROUP BY word HAVING sum(n) >= 5) USING (word) GROUP BY id) USING (id)",
+    "regime_rows": "SELECT regime, train_dataset, test_dataset, fold, count(*) AS n_rows, "
+    "sum(label)::BIGINT AS n_positive FROM ("
+    "SELECT 'cv' AS regime, dataset AS train_dataset, dataset AS test_dataset, fold, label FROM folded "
+    "UNION ALL SELECT 'cross', t.dataset, f.dataset, fold, label FROM folded f JOIN "
+    "(SELECT DISTINCT dataset FROM folded) t ON t.dataset <> f.dataset "
+    "UNION ALL SELECT 'loo', 'all_except_' || dataset, dataset, fold, label FROM folded "
+    "UNION ALL SELECT 'global', 'all', dataset, fold, label FROM folded) GROUP BY ALL",
     "pronoun_ratios": "SELECT id, "
     + ", ".join(f"{r6(f'{w}_ratio')} AS {w}_ratio" for w in src.COUNTED_WORDS)
     + " FROM pronouns",
@@ -419,6 +433,27 @@ BODIES: dict[str, str] = {
     "nested_transfer": "SELECT train_dataset, test_dataset, round(f1, 6) AS f1 FROM drops",
 }
 
+CTES["big"] = (
+    "SELECT word, (len(word) % 7) / 4.0::DOUBLE - 0.75::DOUBLE AS polarity, "
+    "(len(word) % 5) / 4.0::DOUBLE AS subjectivity, "
+    "CASE (len(word) // 2) % 4 WHEN 0 THEN 'NOUN' WHEN 1 THEN 'VERB' WHEN 2 THEN 'ADJ' END AS class "
+    "FROM (SELECT DISTINCT word FROM word_counts) WHERE len(word) % 2 = 0"
+)
+CTES["big_hits"] = (
+    "SELECT id, sum(n) AS hits, sum(n * polarity) / sum(n) AS p, sum(n * subjectivity) / sum(n) AS s, "
+    + ", ".join(f"sum(n) FILTER (class = '{c}') AS {c.lower()}" for c in ("NOUN", "VERB", "ADJ"))
+    + " FROM word_counts JOIN big USING (word) GROUP BY id"
+)
+CTES["big_rows"] = (
+    "SELECT dataset, id, tokens, coalesce(hits, 0)::INT AS hits, coalesce(p, 0.0) AS p, "
+    "coalesce(s, 0.0) AS s, coalesce(noun, 0) AS noun, coalesce(verb, 0) AS verb, "
+    "coalesce(adj, 0) AS adj FROM tok LEFT JOIN big_hits USING (id)"
+)
+CTES["big_lexicon"] = CTES["lexicon"].replace("FROM hit", "FROM big_rows")
+CTES["big_sentiment"] = CTES["sentiment"].replace("FROM feeling", "FROM big_rows")
+CTES["big_classes"] = "SELECT dataset, id, " + ", ".join(
+    f"{ratio(c, 'len(tokens)')} AS {c}_ratio" for c in ("noun", "verb", "adj")
+) + " FROM big_rows"
 CTES["base"] = "SELECT DISTINCT term FROM (SELECT unnest(string_split(text, ' ')) AS term FROM docs) WHERE term <> ''"
 
 ORACLES: dict[str, str] = {name: composed(body) for name, body in BODIES.items()}

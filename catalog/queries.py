@@ -17,6 +17,7 @@ from corpuslens.operators import reports as rp
 from corpuslens.operators import splits as sp
 from corpuslens.operators.align import align_terms
 from corpuslens.operators.classify import fit_logistic, score
+from corpuslens.operators.dictionaries import lexicon_features as dictionary_lexicon
 from corpuslens.operators.dictionaries import sentiment_features, token_class_ratios
 from corpuslens.operators.lexicon import build_lexicon
 from corpuslens.operators.tfidf import TfidfEstimator, term_statistics
@@ -36,7 +37,7 @@ from corpuslens.plans.features import (
     source_one_hot,
 )
 from corpuslens.session import sized
-from corpuslens.sources.readers import dataset_profile, load_dataset, union_named
+from corpuslens.sources.readers import dataset_profile, posts_from, union_named
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 KEYS = ["dataset", "id"]
@@ -60,10 +61,9 @@ def rounded(df: DataFrame, *names: str) -> DataFrame:
 
 @query
 def load_posts(spark, sf):
-    rows = load_dataset(
-        spark, f"{sf}/conversations.parquet", label_column="turn", id_column="conv_id",
-        dataset="conversations",
-    )
+    """Documents with their toxicity as the label."""
+    raw = src.table(spark, sf, "documents").join(src.table(spark, sf, "labels"), "doc_id")
+    rows = posts_from(raw, label_column="toxic", id_column="doc_id", dataset="documents")
     return rows.select("dataset", "id", "label", F.md5("text").alias("text_md5"))
 
 
@@ -140,7 +140,7 @@ def lexicon_features(spark, sf):
 @query
 def sentiment(spark, sf):
     rows = sentiment_features(
-        tx.with_tokens(src.documents(spark, sf)), src.dictionaries(spark).polarity, KEYS
+        tx.with_tokens(src.documents(spark, sf)), src.dictionaries(spark).polarity
     )
     return rounded(rows.select("id", *SENTIMENT_GROUP), *SENTIMENT_GROUP[:3])
 
@@ -148,7 +148,32 @@ def sentiment(spark, sf):
 @query
 def token_class_ratios_query(spark, sf):
     rows = token_class_ratios(
-        tx.with_tokens(src.documents(spark, sf)), src.dictionaries(spark).classes, KEYS
+        tx.with_tokens(src.documents(spark, sf)), src.dictionaries(spark).classes
+    )
+    names = ("noun_ratio", "verb_ratio", "adj_ratio")
+    return rounded(rows.select("id", *names), *names)
+
+
+@query
+def lexicon_features_large(spark, sf):
+    """A lexicon beyond the bound of literal sets."""
+    terms = src.large_dictionary(spark, sf).select(F.col("word").alias("term"))
+    rows = dictionary_lexicon(tx.with_tokens(src.documents(spark, sf)), terms)
+    return rounded(rows.select("dataset", "id", *LEXICON_GROUP), "hate_word_ratio")
+
+
+@query
+def sentiment_large(spark, sf):
+    rows = sentiment_features(
+        tx.with_tokens(src.documents(spark, sf)), src.large_dictionary(spark, sf)
+    )
+    return rounded(rows.select("id", *SENTIMENT_GROUP), *SENTIMENT_GROUP[:3])
+
+
+@query
+def token_classes_large(spark, sf):
+    rows = token_class_ratios(
+        tx.with_tokens(src.documents(spark, sf)), src.large_dictionary(spark, sf)
     )
     names = ("noun_ratio", "verb_ratio", "adj_ratio")
     return rounded(rows.select("id", *names), *names)
@@ -170,7 +195,7 @@ def source_one_hot_query(spark, sf):
 @query
 def label_feature_averages(spark, sf):
     """Average row features per dataset and label of the labelled documents."""
-    rows = row_features(src.posts(spark, sf), src.dictionaries(spark), KEYS)
+    rows = row_features(src.posts(spark, sf), src.dictionaries(spark))
     names = (*LEXICAL_GROUP, *LEXICON_GROUP, *SENTIMENT_GROUP, *RATIO_COLUMNS)
     return rows.groupBy("dataset", "label").agg(
         F.count("*").alias("n_rows"), *[r6(F.avg(n)).alias(n) for n in names]
@@ -291,11 +316,12 @@ def encoded_embeddings(spark, sf):
 
 @query
 def word2vec_embeddings(spark, sf):
-    """Document vectors learned from the labelled documents."""
+    """Document vectors learned from all documents; zero where no word is frequent enough."""
     rows = emb.encode_word2vec(
-        tx.with_tokens(src.posts(spark, sf)), size=16, seed=src.SEED, minCount=5, maxIter=1
+        tx.with_tokens(src.documents(spark, sf)), size=16, seed=src.SEED, minCount=5, maxIter=1
     )
-    return rows.select("dataset", "id", F.size("embedding").alias("width"))
+    is_zero = F.forall("embedding", lambda x: x == 0).cast("int")
+    return rows.select("dataset", "id", F.size("embedding").alias("width"), is_zero.alias("is_zero"))
 
 
 # Assembly ------------------------------------------------------------------------------
@@ -306,7 +332,7 @@ def feature_matrix(spark, sf):
     """Dense feature groups of every document; the neutral centroid is per dataset."""
     rows = src.documents(spark, sf)
     vec = src.vectors(spark, sf)
-    features = row_features(rows, src.dictionaries(spark), KEYS)
+    features = row_features(rows, src.dictionaries(spark))
     features = emb.attach_embeddings(features, vec.rows, ["id"], vec.size)
     features = emb.similarity_to(features, vec.lexicon_centroid, "hate_lexicon_similarity")
     labelled = rows.drop("text").join(vec.rows, "id").join(src.labels(spark, sf), "id")
@@ -567,6 +593,30 @@ def _regime(spark, sf, *regimes: str, fit_scope: str = "all") -> DataFrame:
     return rounded(summary, *[c for c in summary.columns if c.endswith(("_mean", "_std"))])
 
 
+@query
+def regime_rows(spark, sf):
+    """What was tested in every evaluation and fold of the regimes: rows and positives."""
+    plan = extractor(spark, sf, tfidf_selection_method="none", max_tfidf_features=500)
+    scored = rg.run_regimes(src.posts(spark, sf), plan, seed=src.SEED, fit_scope="all")
+    counts = [F.col(name) for name in mx.COUNTS]
+    return rg.fold_metrics(scored).select(
+        *rg.KEYS,
+        sum(counts[1:], counts[0]).alias("n_rows"),
+        (F.col("true_positives") + F.col("false_negatives")).alias("n_positive"),
+    )
+
+
+@query
+def regime_transfer(spark, sf):
+    """Train by test table of trained models, with the drop against cross-validation."""
+    scored = rg.run_regimes(
+        src.posts(spark, sf), extractor(spark, sf, tfidf_selection_method="none", max_tfidf_features=500),
+        ("cv", "cross"), seed=src.SEED, fit_scope="all",
+    )
+    table = rg.transfer_summary(rg.overall_summary(scored))
+    return rounded(table, *[c for c in table.columns if not c.endswith("_dataset")])
+
+
 @query
 def regime_cv(spark, sf):
     return _regime(spark, sf, "cv")

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+LOGGER = logging.getLogger(__name__)
 
 # Rows that one task should at least hold while a model iterates over them.
 ROWS_PER_TASK = 10_000
+# Limit of solver iterations.
+MAX_ITER = 1000
 
 
 def balanced(
@@ -18,22 +23,32 @@ def balanced(
     """Weight n / (2 * class size) per row, and n. Only two counts reach the driver.
 
     A solver runs one job per iteration; a few rows per task would make scheduling its
-    main cost, so small inputs are merged into fewer tasks. Large ones stay as they are.
+    main cost, so the number of tasks follows the number of rows. Rows are dealt and
+    sorted by ``id`` if they have one: then what a seeded fit draws depends on rows and
+    seed alone, not on how the input was laid out.
     """
     counts = {r["label"]: r["count"] for r in train.groupBy("label").count().collect()}
     if set(counts) != {0, 1}:
         raise ValueError(f"training rows need labels 0 and 1, got {list(counts)}")
     n = sum(counts.values())
     per_class = F.when(F.col("label") == 1, n / (2 * counts[1])).otherwise(n / (2 * counts[0]))
-    return train.withColumn(weight, per_class).coalesce(n // rows_per_task + 1), n
+    weighted, tasks = train.withColumn(weight, per_class), n // rows_per_task + 1
+    if "id" in train.columns:
+        weighted = weighted.repartition(tasks, "id").sortWithinPartitions("id")
+    else:
+        weighted = weighted.coalesce(tasks)
+    return weighted, n
 
 
 def fit_logistic(
-    train: DataFrame, features: str = "features", max_iter: int = 100, tol: float = 1e-6
+    train: DataFrame, features: str = "features", max_iter: int = MAX_ITER, tol: float = 1e-6
 ) -> LogisticRegressionModel:
-    """L2-penalised fit with C = 1: balanced weights sum to n, so ``regParam`` is 1/n."""
-    weighted, n = balanced(train.select(features, "label"))
-    return LogisticRegression(
+    """L2-penalised fit with C = 1: balanced weights sum to n, so ``regParam`` is 1/n.
+
+    A fit that ends at the limit is logged; see :func:`convergence`.
+    """
+    weighted, n = balanced(train.select(features, "label", *(c for c in ("id",) if c in train.columns)))
+    model = LogisticRegression(
         featuresCol=features,
         labelCol="label",
         weightCol="weight",
@@ -43,6 +58,15 @@ def fit_logistic(
         maxIter=max_iter,
         tol=tol,
     ).fit(weighted)
+    if convergence(model)["limit_reached"]:
+        LOGGER.warning("logistic fit stopped at its limit of %d iterations", max_iter)
+    return model
+
+
+def convergence(model: LogisticRegressionModel) -> dict[str, int | bool]:
+    """Iterations of a fit, and whether the limit rather than the tolerance ended it."""
+    used = model.summary.totalIterations
+    return {"iterations": used, "limit_reached": used >= model.getMaxIter()}
 
 
 def score(model: LogisticRegressionModel, rows: DataFrame) -> DataFrame:

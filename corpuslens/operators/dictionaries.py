@@ -1,8 +1,10 @@
 """Features that look tokens up in user dictionaries.
 
 A dictionary that fits the bound below becomes a literal hash set, so membership is
-tested inside the row and nothing is shuffled. A larger one is joined token by token;
-only the per-row totals are shuffled then. Both ways give the same columns.
+tested inside the row and nothing is shuffled. A larger one is joined to the tokens of
+each distinct token list, and the totals come back by the list; this needs no key of the
+rows. Both ways give the same columns. Entries with a null are dropped, a word listed
+twice with a value is refused, and a stream takes only dictionaries within the bound.
 """
 
 from __future__ import annotations
@@ -24,14 +26,29 @@ WORD_CLASSES = {"NOUN": "noun_ratio", "VERB": "verb_ratio", "ADJ": "adj_ratio"}
 EXACT = "decimal(18,6)"
 
 
-def _matches(df: DataFrame, dictionary: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per token found in ``dictionary(word, ...)``."""
-    tokens = df.select(*keys, F.explode("tokens").alias("word"))
-    return tokens.join(sized(dictionary), "word")
+def _settled(dictionary: DataFrame, *values: str) -> DataFrame:
+    """Entries without nulls; a word listed twice has no one meaning and is refused."""
+    rows = dictionary.select("word", *values).dropna()
+    twice = rows.groupBy("word").count().filter("count > 1").limit(5).collect()
+    if twice:
+        names = ", ".join(sorted(repr(r["word"]) for r in twice))
+        raise ValueError(f"words listed more than once in the dictionary: {names}")
+    return rows
 
 
-def _left(df: DataFrame, totals: DataFrame, keys: list[str]) -> DataFrame:
-    return df.join(totals, keys, "left")
+def _with_totals(df: DataFrame, dictionary: DataFrame, *totals: Column) -> DataFrame:
+    """Add ``totals`` over the matches of each row's tokens; null for a row without any.
+
+    ``_n`` is how often a matched word stands in the row.
+    """
+    if df.isStreaming:
+        raise ValueError("this dictionary is too large for a stream: rows cannot be joined by token there")
+    keyed = df.withColumn("_list", F.sha2(F.concat_ws(" ", "tokens"), 256))
+    lists = keyed.select("_list", "tokens").dropDuplicates(["_list"])
+    words = lists.select("_list", F.explode("tokens").alias("word"))
+    counts = words.groupBy("_list", "word").agg(F.count("*").alias("_n"))
+    found = counts.join(sized(dictionary), "word").groupBy("_list").agg(*totals)
+    return keyed.join(found, "_list", "left").drop("_list")
 
 
 def lexicon_columns(hits: Column, tokens: Column) -> dict[str, Column]:
@@ -43,26 +60,23 @@ def lexicon_columns(hits: Column, tokens: Column) -> dict[str, Column]:
 
 
 def lexicon_features(
-    df: DataFrame, lexicon: DataFrame, keys: list[str], inline_terms: int = INLINE_TERMS
+    df: DataFrame, lexicon: DataFrame, inline_terms: int = INLINE_TERMS
 ) -> DataFrame:
     """Add lexicon hit count, ratio and flag to rows that carry ``tokens``.
 
     Matching is by single token, so terms that hold a space cannot match and are left
     out of the lookup.
     """
-    terms = lexicon.select("term").filter(~F.col("term").contains(" ")).distinct()
+    terms = lexicon.select("term").dropna().filter(~F.col("term").contains(" ")).distinct()
     table = small_table(terms, inline_terms)
     tokens = F.col("tokens")
     if table is not None:
         hits = count_in(tokens, sorted(table["term"].to_pylist()))
         return df.withColumns(lexicon_columns(hits, tokens))
-    totals = (
-        _matches(df, terms.select(F.col("term").alias("word")), keys)
-        .groupBy(*keys)
-        .agg(F.count("*").cast("int").alias("_hits"))
-    )
+    words = terms.select(F.col("term").alias("word"))
+    rows = _with_totals(df, words, F.sum("_n").cast("int").alias("_hits"))
     hits = F.coalesce(F.col("_hits"), F.lit(0))
-    return _left(df, totals, keys).withColumns(lexicon_columns(hits, tokens)).drop("_hits")
+    return rows.withColumns(lexicon_columns(hits, tokens)).drop("_hits")
 
 
 def sentiment_columns(polarity: Column, subjectivity: Column) -> dict[str, Column]:
@@ -102,16 +116,17 @@ def _inline_mean(table: pa.Table, name: str) -> Column:
 def sentiment_features(
     df: DataFrame,
     dictionary: DataFrame,
-    keys: list[str],
     inline_terms: int = INLINE_TERMS,
     inline_scores: int = INLINE_SCORES,
 ) -> DataFrame:
     """Mean polarity and subjectivity of the matched tokens, 0.0 if none match.
 
-    ``dictionary`` is ``(word, polarity, subjectivity)`` with distinct words.
+    ``dictionary`` is ``(word, polarity, subjectivity)``; scores count to six decimals.
     """
     names = ("polarity", "subjectivity")
-    scores = dictionary.select("word", *[F.col(n).cast(EXACT).alias(n) for n in names])
+    scores = _settled(
+        dictionary.select("word", *[F.col(n).cast(EXACT).alias(n) for n in names]), *names
+    )
     table = small_table(scores, inline_terms)
     if table is not None and sum(len(table[n].unique()) for n in names) <= inline_scores:
         known = sorted(table["word"].to_pylist())
@@ -121,10 +136,10 @@ def sentiment_features(
         )
     else:
         means = [
-            F.try_divide(F.sum(n).cast("double"), F.count("*")).alias(f"_{n}") for n in names
+            F.try_divide(F.sum(F.col(n) * F.col("_n")).cast("double"), F.sum("_n")).alias(f"_{n}")
+            for n in names
         ]
-        totals = _matches(df, scores, keys).groupBy(*keys).agg(*means)
-        scored = _left(df, totals, keys).withColumns(
+        scored = _with_totals(df, scores, *means).withColumns(
             {f"_{n}": F.coalesce(F.col(f"_{n}"), F.lit(0.0)) for n in names}
         )
     return scored.withColumns(
@@ -133,10 +148,10 @@ def sentiment_features(
 
 
 def token_class_ratios(
-    df: DataFrame, classes: DataFrame, keys: list[str], inline_terms: int = INLINE_TERMS
+    df: DataFrame, classes: DataFrame, inline_terms: int = INLINE_TERMS
 ) -> DataFrame:
-    """Share of tokens per word class; ``classes`` is ``(word, class)``, words distinct."""
-    known = classes.select("word", "class").filter(F.col("class").isin(*WORD_CLASSES))
+    """Share of tokens per word class; ``classes`` is ``(word, class)``."""
+    known = _settled(classes, "class").filter(F.col("class").isin(*WORD_CLASSES))
     table = small_table(known, inline_terms)
     total = F.size("tokens")
     if table is not None:
@@ -149,18 +164,12 @@ def token_class_ratios(
                 for name, column in WORD_CLASSES.items()
             }
         )
-    totals = (
-        _matches(df, known, keys)
-        .groupBy(*keys)
-        .agg(
-            *[
-                F.count_if(F.col("class") == name).alias(f"_{column}")
-                for name, column in WORD_CLASSES.items()
-            ]
-        )
-    )
-    joined = _left(df, totals, keys)
-    return joined.withColumns(
+    totals = [
+        F.sum(F.when(F.col("class") == name, F.col("_n"))).alias(f"_{column}")
+        for name, column in WORD_CLASSES.items()
+    ]
+    rows = _with_totals(df, known, *totals)
+    return rows.withColumns(
         {
             column: ratio(F.coalesce(F.col(f"_{column}"), F.lit(0)), total)
             for column in WORD_CLASSES.values()

@@ -6,6 +6,8 @@ as regime, train dataset, test dataset and fold say which evaluation it belongs
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from corpuslens.session import SMALL_TABLE_ROWS, sized, written
 
 # Metrics that are averaged over folds.
 FOLD_METRICS = ("f1", "accuracy", "precision", "recall", "roc_auc")
+COUNTS = ("true_positives", "true_negatives", "false_positives", "false_negatives")
 
 
 def confusion(scored: DataFrame, keys: list[str]) -> DataFrame:
@@ -30,8 +33,7 @@ def confusion(scored: DataFrame, keys: list[str]) -> DataFrame:
 def with_metrics(counts: DataFrame) -> DataFrame:
     """Accuracy, precision, recall and F1 from the four counts; 0 on empty denominators."""
     tp, tn, fp, fn = (
-        F.col(c)
-        for c in ("true_positives", "true_negatives", "false_positives", "false_negatives")
+        F.col(c) for c in COUNTS
     )
     return counts.withColumns(
         {
@@ -137,8 +139,7 @@ def classification_report(scored: DataFrame, keys: list[str]) -> DataFrame:
     """Per-class, macro and weighted precision, recall, F1 and support, and accuracy."""
     counts = confusion(scored, keys)
     tp, tn, fp, fn = (
-        F.col(c)
-        for c in ("true_positives", "true_negatives", "false_positives", "false_negatives")
+        F.col(c) for c in COUNTS
     )
 
     def side(name: str, hit: Column, wrong: Column, missed: Column) -> Column:
@@ -191,12 +192,18 @@ def classification_report(scored: DataFrame, keys: list[str]) -> DataFrame:
     return classes.drop("correct").unionByName(summary)
 
 
-def fold_summary(fold_metrics: DataFrame, keys: list[str], with_rows: bool = False) -> DataFrame:
+def fold_summary(
+    fold_metrics: DataFrame,
+    keys: list[str],
+    with_rows: bool = False,
+    more: Sequence[Column] = (),
+) -> DataFrame:
     """Mean and population standard deviation over folds, one row per key.
 
-    ``with_rows`` adds the fold rows themselves as an array, for nested sinks.
+    ``with_rows`` adds the fold rows themselves as an array, for nested sinks; ``more``
+    are further aggregates of the fold rows.
     """
-    columns = [F.count("*").alias("n_folds")]
+    columns = [F.count("*").alias("n_folds"), *more]
     for name in FOLD_METRICS:
         columns += [F.avg(name).alias(f"{name}_mean"), F.stddev_pop(name).alias(f"{name}_std")]
     if with_rows:

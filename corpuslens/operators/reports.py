@@ -40,7 +40,8 @@ def delta_f1(results: DataFrame) -> DataFrame:
     without = results.filter(F.col("experiment").isin(*LEFT_OUT.values())).select(
         "dataset", names[F.col("experiment")].alias("feature_group"), "f1"
     )
-    return without.join(full, "dataset").select(
+    # Without a full experiment the difference is null.
+    return without.join(full, "dataset", "left").select(
         "dataset", "feature_group", (F.col("full_f1") - F.col("f1")).alias("delta_f1")
     )
 
@@ -70,13 +71,13 @@ def dense_grid(results: DataFrame) -> DataFrame:
 
 
 def f1_drop(transfer: DataFrame) -> DataFrame:
-    """Add ``f1_drop_pct``: loss of F1 in percent of the train dataset's own F1."""
+    """Add ``f1_drop_pct``: loss of F1 in percent of the train dataset's own F1, null without one."""
     own = transfer.filter(F.col("train_dataset") == F.col("test_dataset")).select(
         "train_dataset", F.col("f1").alias("own_f1")
     )
     drop = 100 * (F.col("own_f1") - F.col("f1"))
     return (
-        transfer.join(own, "train_dataset")
+        transfer.join(own, "train_dataset", "left")
         .withColumn("f1_drop_pct", F.try_divide(drop, F.col("own_f1")))
         .drop("own_f1")
     )

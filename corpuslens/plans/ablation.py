@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslens.operators.classify import fit_logistic, score
+from corpuslens.operators.classify import MAX_ITER, convergence, fit_logistic, score
 from corpuslens.operators.metrics import evaluate
 from corpuslens.operators.splits import class_guard, stratified_holdout
 from corpuslens.plans.features import FeatureExtractor, assemble
@@ -33,9 +33,9 @@ def run_ablation(
     extractor: FeatureExtractor,
     test_share: float = 0.2,
     seed: int = 42,
-    max_iter: int = 100,
+    max_iter: int = MAX_ITER,
 ) -> DataFrame:
-    """``dataset, experiment, n_features`` and metrics of each experiment.
+    """``dataset, experiment, n_features``, the fit's iterations and the metrics of each experiment.
 
     Features are learned from the training rows of each dataset. Experiments whose
     feature groups are all empty are left out.
@@ -63,6 +63,7 @@ def run_ablation(
             "dataset",
             F.lit(experiment).alias("experiment"),
             F.lit(n_features).alias("n_features"),
+            *[F.lit(value).alias(name) for name, value in convergence(fitted).items()],
             "label",
             "prediction",
             "score",
@@ -71,4 +72,6 @@ def run_ablation(
     rows_scored = written(
         _union(_parallel(rows.sparkSession, scored, tasks, extractor.settings.parallel_fits)), "ablation"
     )
-    return evaluate(rows_scored, ["dataset", "experiment", "n_features"])
+    return evaluate(
+        rows_scored, ["dataset", "experiment", "n_features", "iterations", "limit_reached"]
+    )

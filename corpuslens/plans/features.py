@@ -95,12 +95,12 @@ class Dictionaries:
     classes: DataFrame
 
 
-def row_features(df: DataFrame, dictionaries: Dictionaries, keys: list[str]) -> DataFrame:
+def row_features(df: DataFrame, dictionaries: Dictionaries) -> DataFrame:
     """All features that need nothing but the row and the dictionaries."""
     rows = lexical_features(df)
-    rows = lexicon_features(rows, dictionaries.lexicon, keys)
-    rows = sentiment_features(rows, dictionaries.polarity, keys)
-    rows = token_class_ratios(rows, dictionaries.classes, keys)
+    rows = lexicon_features(rows, dictionaries.lexicon)
+    rows = sentiment_features(rows, dictionaries.polarity)
+    rows = token_class_ratios(rows, dictionaries.classes)
     return rows.withColumns(pronoun_columns(F.col("tokens")))
 
 
@@ -169,7 +169,7 @@ class FeatureExtractor(Estimator):
         empty = sparse(F.lit(0), F.array(), F.array())
         train = stored_vectors(
             vectors.join(dataset.select(group, "id", "label"), [group, "id"]).select(
-                group, "label", F.coalesce("tfidf", empty).alias("tfidf")
+                group, "id", "label", F.coalesce("tfidf", empty).alias("tfidf")
             ),
             ["tfidf"],
             "selection",
@@ -236,7 +236,7 @@ class FeatureModel(Model):
     def dense(self, dataset: DataFrame) -> DataFrame:
         """Every feature column but TF-IDF; missing values are 0."""
         vectors = self.plan.vectors
-        rows = row_features(dataset, self.plan.dictionaries, [self.group_col, "id"])
+        rows = row_features(dataset, self.plan.dictionaries)
         rows = attach_embeddings(rows, vectors.rows, list(vectors.keys), vectors.size)
         rows = similarity_to(rows, vectors.lexicon_centroid, "hate_lexicon_similarity")
         rows = distance_to_neutral(rows, self.neutral, self.group_col)

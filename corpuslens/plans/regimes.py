@@ -11,14 +11,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.util import inheritable_thread_target
 
-from corpuslens.operators.classify import fit_logistic, score
-from corpuslens.operators.metrics import evaluate, fold_summary
+from corpuslens.operators.classify import MAX_ITER, convergence, fit_logistic, score
+from corpuslens.operators.metrics import COUNTS, FOLD_METRICS, evaluate, fold_summary
+from corpuslens.operators.reports import f1_drop
 from corpuslens.operators.splits import class_guard, stratified_folds
 from corpuslens.plans.features import FeatureExtractor, assemble
 from corpuslens.session import written
 
 REGIMES = ("cv", "cross", "loo", "global")
 KEYS = ["regime", "train_dataset", "test_dataset", "fold"]
+# How the model of a row was fitted.
+FIT = ("iterations", "limit_reached")
 
 
 @dataclass(frozen=True)
@@ -59,9 +62,10 @@ def run_regimes(
     seed: int = 42,
     fit_scope: str = "train",
     fold_mode: str = "exact",
-    max_iter: int = 100,
+    max_iter: int = MAX_ITER,
 ) -> DataFrame:
-    """Scored rows of every evaluation: keys, ``dataset, id, label, prediction, score``.
+    """Scored rows of every evaluation: keys, ``id, label, prediction, score``, and of the
+    model's fit ``iterations`` and ``limit_reached``.
 
     ``fit_scope="train"`` learns features from the training rows of each model alone.
     ``"all"`` learns them once per dataset from all its rows, before the folds are cut,
@@ -99,6 +103,7 @@ def run_regimes(
             "label",
             "prediction",
             "score",
+            *[F.lit(value).alias(name) for name, value in convergence(model).items()],
         )
 
     return written(_union(_parallel(rows.sparkSession, scored, fits, extractor.settings.parallel_fits)), "scored")
@@ -119,7 +124,8 @@ def fold_metrics(scored: DataFrame) -> DataFrame:
 
     AUC of a fold with one class is null in the global regime and 0.0 elsewhere.
     """
-    rows = evaluate(scored, KEYS, one_class=None)
+    fit = [c for c in FIT if c in scored.columns]
+    rows = evaluate(scored, [*KEYS, *fit], one_class=None)
     auc = F.when(F.col("regime") == "global", F.col("roc_auc")).otherwise(
         F.coalesce("roc_auc", F.lit(0.0))
     )
@@ -127,10 +133,40 @@ def fold_metrics(scored: DataFrame) -> DataFrame:
 
 
 def overall_summary(scored: DataFrame, with_rows: bool = False) -> DataFrame:
-    """Mean and deviation over folds for every evaluation of every regime."""
-    return fold_summary(
-        fold_metrics(scored), ["regime", "train_dataset", "test_dataset"], with_rows
+    """Mean and deviation over folds for every evaluation of every regime.
+
+    Added are the confusion counts of all folds, the folds with an AUC (those with both
+    classes in the global regime), the longest fit and the folds whose fit hit the limit.
+    """
+    keys = ["regime", "train_dataset", "test_dataset"]
+    folds = fold_metrics(scored)
+    pooled = [F.sum(name).alias(name) for name in COUNTS]
+    pooled.append(F.count("roc_auc").alias("n_auc_folds"))
+    if "iterations" in folds.columns:
+        pooled += [
+            F.max("iterations").alias("max_iterations"),
+            F.count_if("limit_reached").alias("n_limit_reached"),
+        ]
+    return fold_summary(folds, keys, with_rows, pooled)
+
+
+def transfer_summary(summary: DataFrame) -> DataFrame:
+    """Train by test table with F1 drop, from the ``cv`` and ``cross`` rows of a summary.
+
+    A dataset's own row is its cross-validation. Raises if a train dataset has none.
+    """
+    rows = summary.filter(F.col("regime").isin("cv", "cross")).select(
+        "train_dataset",
+        "test_dataset",
+        *[F.col(f"{name}_mean").alias(name) for name in FOLD_METRICS],
     )
+    own = rows.filter(F.col("train_dataset") == F.col("test_dataset")).select("train_dataset")
+    # One row per train dataset that lacks its own.
+    lacking = rows.join(own, "train_dataset", "left_anti").select("train_dataset").distinct()
+    names = sorted(r["train_dataset"] for r in lacking.collect())
+    if names:
+        raise ValueError(f"no cross-validation row for {', '.join(names)}: run the cv regime too")
+    return f1_drop(rows)
 
 
 def nested_summary(scored: DataFrame) -> DataFrame:

@@ -19,12 +19,14 @@ def read_posts(spark: SparkSession, path: str, schema: StructType, **options: st
 def write_row_features(
     posts: DataFrame,
     dictionaries: Dictionaries,
-    keys: list[str],
     path: str,
     checkpoint: str,
 ) -> StreamingQuery:
-    """Append the features of all available posts to ``path``; exactly once per file."""
-    features = row_features(posts, dictionaries, keys).drop("clean", "tokens")
+    """Append the features of all available posts to ``path``; exactly once per file.
+
+    Raises before the start if a dictionary is too large for a stream.
+    """
+    features = row_features(posts, dictionaries).drop("clean", "tokens")
     return (
         features.writeStream.format("parquet")
         .outputMode("append")

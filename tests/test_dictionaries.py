@@ -23,14 +23,14 @@ def rows(spark):
 @pytest.mark.parametrize("bound", [10_000, 0])
 def test_lexicon_features(spark, rows, bound):
     terms = spark.createDataFrame([("idiot",), ("scum",), ("total scum",), ("idiot",)], "term string")
-    got = dc.lexicon_features(rows, terms, ["id"], inline_terms=bound)
+    got = dc.lexicon_features(rows, terms, inline_terms=bound)
     values = {r["id"]: (r["hate_word_count"], r["hate_word_ratio"], r["contains_hate_word"]) for r in got.collect()}
     assert values == {1: (3, 0.6, 1), 2: (0, 0, 0), 3: (0, 0, 0), 4: (0, 0, 0), 5: (0, 0, 0), 6: (0, 0, 0)}
 
 
 def test_small_lexicon_needs_no_shuffle(spark, rows):
     terms = spark.createDataFrame([("idiot",)], "term string")
-    plan = dc.lexicon_features(rows, terms, ["id"])._jdf.queryExecution().executedPlan().toString()
+    plan = dc.lexicon_features(rows, terms)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Join" not in plan
 
 
@@ -40,7 +40,7 @@ def test_sentiment(spark, rows, bounds):
         [("idiot", -0.8, 0.8), ("scum", -0.7, 0.9), ("good", 0.7, 0.6), ("bad", -0.7, 0.2), ("nice", 0.1, 0.3)],
         "word string, polarity double, subjectivity double",
     )
-    got = {r["id"]: r for r in dc.sentiment_features(rows, words, ["id"], *bounds).collect()}
+    got = {r["id"]: r for r in dc.sentiment_features(rows, words, *bounds).collect()}
     assert len(got) == 6
     assert got[1]["sentiment_polarity"] == pytest.approx(-2.3 / 3)
     assert got[1]["sentiment_subjectivity"] == pytest.approx(2.5 / 3)
@@ -59,16 +59,38 @@ def test_token_classes(spark, rows, bound):
         [("idiot", "NOUN"), ("scum", "NOUN"), ("total", "ADJ"), ("fine", "ADJ"), ("you", "PRON")],
         "word string, class string",
     )
-    got = dc.token_class_ratios(rows, words, ["id"], inline_terms=bound)
+    got = dc.token_class_ratios(rows, words, inline_terms=bound)
     values = {r["id"]: (r["noun_ratio"], r["verb_ratio"], r["adj_ratio"]) for r in got.collect()}
     assert values[1] == (0.6, 0.0, 0.2)
     assert values[2] == pytest.approx((0, 0, 1 / 3))
     assert values[3] == values[4] == (0, 0, 0)
 
 
+@pytest.mark.parametrize("bounds", [(10_000, 128), (0, 0)])
+def test_both_paths_mean_the_same(spark, rows, bounds):
+    """Rows that repeat, null entries: one answer, whatever the size of the dictionary."""
+    twice = rows.unionByName(rows)
+    terms = spark.createDataFrame([("idiot",), (None,), ("scum",)], "term string")
+    got = dc.lexicon_features(twice, terms, inline_terms=bounds[0]).filter("id = 1").collect()
+    assert [(r["hate_word_count"], r["hate_word_ratio"]) for r in got] == [(3, 0.6)] * 2
+    words = spark.createDataFrame(
+        [("good", 0.5, 0.5), ("bad", None, 0.5), (None, 1.0, 1.0)], "word string, polarity double, subjectivity double"
+    )
+    got = dc.sentiment_features(twice, words, *bounds).filter("id = 5").collect()
+    assert [(r["sentiment_polarity"], r["sentiment_subjectivity"]) for r in got] == [(0.5, 0.5)] * 2
+
+
+def test_words_listed_twice_are_refused(spark, rows):
+    words = spark.createDataFrame([("a", 0.1, 0.1), ("a", 0.2, 0.1)], "word string, polarity double, subjectivity double")
+    with pytest.raises(ValueError, match="'a'"):
+        dc.sentiment_features(rows, words)
+    with pytest.raises(ValueError, match="'b'"):
+        dc.token_class_ratios(rows, spark.createDataFrame([("b", "NOUN"), ("b", "VERB")], "word string, class string"))
+
+
 def test_empty_dictionaries(spark, rows):
     none = spark.createDataFrame([], "word string, polarity double, subjectivity double")
-    assert dc.sentiment_features(rows, none, ["id"]).agg(F.max("sentiment_magnitude")).first()[0] == 0.0
+    assert dc.sentiment_features(rows, none).agg(F.max("sentiment_magnitude")).first()[0] == 0.0
 
 
 def test_lexicon_build(spark):

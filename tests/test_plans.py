@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from catalog import inputs as src
 from corpuslens.operators.align import align_columns, align_terms
-from corpuslens.operators.classify import fit_logistic, score
+from corpuslens.operators.classify import convergence, fit_logistic, score
 from corpuslens.operators.selection import forest_importances, select_terms
 from corpuslens.plans import ablation as ab
 from corpuslens.plans import features as ft
@@ -104,6 +104,58 @@ def test_logistic_gradient_vanishes(spark):
     assert out["prediction"] in (0, 1) and 0 <= out["score"] <= 1
 
 
+def test_shipped_defaults_converge_or_say_so(spark, posts):
+    """Badly scaled real columns: the gradient vanishes, or the fit reports its limit."""
+    from pyspark.ml.functions import array_to_vector
+
+    rows = ft.row_features(posts, src.dictionaries(spark))
+    columns = F.array(*[F.col(c).cast("double") for c in (*ft.LEXICAL_GROUP, *ft.SENTIMENT_GROUP)])
+    train = rows.select("id", "label", array_to_vector(columns).alias("features"))
+    model = fit_logistic(train)
+    assert model.getMaxIter() == 1000
+    state = convergence(model)
+    assert state["limit_reached"] == (state["iterations"] >= 1000)
+    data = train.collect()
+    x, y = np.array([r["features"].toArray() for r in data]), np.array([r["label"] for r in data])
+    weight = np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (1 - y).sum()))
+    w, scale = model.coefficients.toArray(), x.std(0) + 1e-9
+    p = 1 / (1 + np.exp(-(x @ w + model.intercept)))
+    gradient = (w + x.T @ (weight * (p - y))) / scale / len(y)
+    assert state["limit_reached"] or np.abs(gradient).max() < 0.05
+
+
+def test_a_fit_at_its_limit_is_reported(spark, caplog):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(100, 6)) * [1, 100, 1, 1, 0.01, 1]
+    rows = [(i, MLVectors.dense(a), int(a[0] + a[1] > 0)) for i, a in enumerate(x)]
+    model = fit_logistic(spark.createDataFrame(rows, ["id", "features", "label"]), max_iter=2)
+    assert convergence(model) == {"iterations": 2, "limit_reached": True}
+    assert "limit of 2 iterations" in caplog.text
+
+
+def test_forest_does_not_depend_on_layout(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(1300, 12))
+    rows = [(i, MLVectors.dense(a), int(a[3] + a[5] > 0.5)) for i, a in enumerate(x)]
+    df = spark.createDataFrame(rows, ["id", "tfidf", "label"])
+    found = [
+        [r["importance"] for r in forest_importances(df.repartition(n), trees=8, depth=4).orderBy("index").collect()]
+        for n in (4, 7)
+    ]
+    assert found[0] == found[1]
+
+
+def test_transfer_summary(spark):
+    rows = [("cv", "reddit", "reddit", 0.6945), ("cross", "reddit", "4chan", 0.7669), ("loo", "all_except_a", "a", 0.1)]
+    others = [n for n in ("accuracy_mean", "precision_mean", "recall_mean", "roc_auc_mean")]
+    df = spark.createDataFrame(rows, "regime string, train_dataset string, test_dataset string, f1_mean double")
+    df = df.withColumns({name: F.lit(0.5) for name in others})
+    drops = {r["test_dataset"]: round(r["f1_drop_pct"], 1) for r in rg.transfer_summary(df).collect()}
+    assert drops == {"reddit": 0.0, "4chan": -10.4}
+    with pytest.raises(ValueError, match="reddit"):
+        rg.transfer_summary(df.filter("regime <> 'cv'"))
+
+
 def test_forest_finds_the_telling_column(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(200, 5))
@@ -140,6 +192,10 @@ def test_regimes(extractor, posts, scope, tmp_path):
     assert counts == {"cross": 2 * n, **{r: n for r in regimes if r != "cross"}}
     assert scored.filter("regime = 'cross' and train_dataset = test_dataset").count() == 0
     summary = rg.overall_summary(scored)
+    # Every labelled row is tested, and the short limit shows.
+    tested = sum(F.col(c) for c in ("true_positives", "true_negatives", "false_positives", "false_negatives"))
+    assert summary.filter("regime = 'loo'").agg(F.sum(tested)).first()[0] == n
+    assert summary.filter("max_iterations > 10 or n_limit_reached > n_folds").count() == 0
     assert summary.count() == {"all": 3 + 6 + 3 + 3, "train": 6 + 3}[scope]
     assert summary.filter("n_folds <> 2").count() == 0
     nested = rg.nested_summary(scored)

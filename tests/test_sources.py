@@ -25,6 +25,19 @@ def test_csv_scan(spark, tmp_path):
     assert len(set(ids)) == 4 and sorted(ids) == sorted(r["id"] for r in rows.collect())
 
 
+def test_labels_are_mapped_or_refused(spark):
+    raw = spark.createDataFrame(
+        [(1, "a", "Hateful"), (2, "b", "normal"), (3, "c", None), (4, "d", "hateful"), (5, "e", "")],
+        "id long, text string, label string",
+    )
+    rows = rd.posts_from(raw, id_column="id", positive=["hateful"], neutral=["normal"])
+    assert {r["id"]: r["label"] for r in rows.collect()} == {1: 1, 2: 0, 3: None, 4: 1, 5: None}
+    profile = rd.dataset_profile(rows).first()
+    assert (profile["n_rows"], profile["n_unlabelled"], profile["n_positive"]) == (5, 2, 2)
+    with pytest.raises(ValueError, match=r"'Hateful' \(1 rows\)"):
+        rd.posts_from(raw, id_column="id")
+
+
 def test_tsv_scan(spark, tmp_path):
     path = write(tmp_path / "posts.tsv", "id\ttext\tlabel\n7\ta,b\t1.0\n")
     rows = rd.load_dataset(spark, path, id_column="id").collect()
@@ -43,10 +56,10 @@ def test_scan_guards(spark, tmp_path):
 
 def test_columns_are_pruned(spark, sf_small):
     rows = rd.load_dataset(
-        spark, f"{sf_small}/conversations.parquet", label_column="turn", id_column="conv_id"
+        spark, f"{sf_small}/labels.parquet", text_column="quality", label_column="toxic", id_column="doc_id"
     )
     plan = rows.select("id")._jdf.queryExecution().executedPlan().toString()
-    assert "ReadSchema: struct<conv_id:bigint>" in plan
+    assert "ReadSchema: struct<doc_id:bigint>" in plan
 
 
 def test_named_datasets(spark, tmp_path):
