@@ -25,7 +25,7 @@ SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 # Cuts a text where the split pattern must cut it too: at white space that does not lead a word.
 CHUNK = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]")
 # Words that a worker remembers.
-WORDS = 500_000
+WORDS = 100_000
 
 
 class Vocabulary:
@@ -44,7 +44,7 @@ class Vocabulary:
         self.lengths = np.array(list(map(len, self.tokens)), np.int64)
         self.starts = np.cumsum(self.lengths) - self.lengths
         # Keys are left * size + right; a token that begins a text has the left neighbour ``size``.
-        self.edges, self.apart = Memo(self._edges), Memo(self._apart, 1_000_000)
+        self.edges, self.apart = Memo(self._edges), Memo(self._apart, 300_000)
 
     @classmethod
     def parse(cls, data: bytes) -> Vocabulary:
