@@ -322,11 +322,9 @@ BODIES: dict[str, str] = {
     "FROM word_counts GROUP BY word HAVING sum(n) >= 5) USING (word) GROUP BY id) USING (id)",
     "regime_rows": "SELECT regime, train_dataset, test_dataset, fold, count(*) AS n_rows, "
     "sum(label)::BIGINT AS n_positive FROM ("
-    "SELECT 'cv' AS regime, dataset AS train_dataset, dataset AS test_dataset, fold, label FROM folded "
-    "UNION ALL SELECT 'cross', t.dataset, f.dataset, fold, label FROM folded f JOIN "
-    "(SELECT DISTINCT dataset FROM folded) t ON t.dataset <> f.dataset "
-    "UNION ALL SELECT 'loo', 'all_except_' || dataset, dataset, fold, label FROM folded "
-    "UNION ALL SELECT 'global', 'all', dataset, fold, label FROM folded) GROUP BY ALL",
+    "SELECT 'cross' AS regime, t.dataset AS train_dataset, f.dataset AS test_dataset, fold, label "
+    "FROM folded f JOIN (SELECT DISTINCT dataset FROM folded) t ON t.dataset <> f.dataset "
+    "UNION ALL SELECT 'loo', 'all_except_' || dataset, dataset, fold, label FROM folded) GROUP BY ALL",
     "pronoun_ratios": "SELECT id, "
     + ", ".join(f"{r6(f'{w}_ratio')} AS {w}_ratio" for w in src.COUNTED_WORDS)
     + " FROM pronouns",
