@@ -67,11 +67,12 @@ def url_filter(rules: Sequence[tuple[str, str, str]]) -> str:
     z AS (SELECT k.*, s.score FROM k JOIN s USING (r)),
     bins AS (SELECT floor(score * {urls.STEPS}) AS step, count(*) FILTER (label = 0) AS n0, count(*) FILTER (label = 1) AS n1
              FROM z WHERE held AND label IS NOT NULL GROUP BY 1),
-    best AS (SELECT step, round(1 - coalesce(sum(n1) OVER low, 0) / (SELECT sum(n1) FROM bins)
+    best AS (SELECT step, (coalesce(lag(step) OVER (ORDER BY step) + 1, step) + step) / 2.0::DOUBLE / {float(urls.STEPS)} AS cut,
+                    round(1 - coalesce(sum(n1) OVER low, 0) / (SELECT sum(n1) FROM bins)
                                 + coalesce(sum(n0) OVER low, 0) / (SELECT sum(n0) FROM bins), 9) AS quality
              FROM bins WHERE (SELECT sum(n1) FROM bins) > 0 AND (SELECT sum(n0) FROM bins) > 0
              WINDOW low AS (ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-    t AS (SELECT coalesce((SELECT step FROM best ORDER BY quality DESC, step LIMIT 1), 0) / {float(urls.STEPS)} AS cut)
+    t AS (SELECT coalesce((SELECT cut FROM best ORDER BY quality DESC, step LIMIT 1), 0.0::DOUBLE) AS cut)
     SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN score >= cut THEN 'allow' ELSE 'block' END) AS verdict,
            round(score, 6) AS score
     FROM z, t"""

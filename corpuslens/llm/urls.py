@@ -101,7 +101,10 @@ def score(rows: DataFrame, ratios: DataFrame, *keep: str) -> DataFrame:
 
 
 def threshold(scored: DataFrame) -> float:
-    """Of ``scored (score, label)``, the step with the best balanced accuracy; the lowest of several, 0 without labels."""
+    """Of ``scored (score, label)``, the cut with the best balanced accuracy; the lowest of several, 0 without labels.
+
+    Scores are taken in steps; a cut lies halfway between two steps that have scores.
+    """
     bins = scored.groupBy(F.floor(F.col("score") * STEPS).alias("step")).agg(
         F.count_if(F.col("label") == 1).alias("n1"), F.count_if(F.col("label") == 0).alias("n0")
     )
@@ -111,9 +114,10 @@ def threshold(scored: DataFrame) -> float:
     lost, caught = (F.try_divide(F.coalesce(F.sum(n).over(below), F.lit(0)), F.sum(n).over(total)) for n in ("n1", "n0"))
     quality = 1 - lost + caught
     # Without labels of both kinds the division gives null.
-    bins = bins.select("step", F.round(quality, 9).alias("quality")).where("quality IS NOT NULL")
-    best = bins.orderBy(F.desc("quality"), "step").first()
-    return best.step / STEPS if best else 0.0
+    before = F.coalesce(F.lag("step").over(Window.orderBy("step")) + 1, F.col("step"))
+    bins = bins.select("step", ((before + F.col("step")) / 2 / STEPS).alias("cut"), F.round(quality, 9).alias("quality"))
+    best = bins.where("quality IS NOT NULL").orderBy(F.desc("quality"), "step").first()
+    return best.cut if best else 0.0
 
 
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]], id_col: str = "page_id", url_col: str = "url") -> DataFrame:

@@ -73,8 +73,10 @@ def pages(spark, some):
 
 def test_the_model_separates_what_rules_leave_open(spark):
     rules = [("allow", "news.org", "/"), ("block", "spam.biz", "/")]
-    some = [(i, f"http://www.news.org/report{i}") for i in range(60)] + [(100 + i, f"http://x.spam.biz/pills{i}") for i in range(60)]
-    some += [(200, "http://other.com/report5"), (201, "http://other.com/pills7")]
+    ends = [a + b for a in "abcdefghij" for b in "klmnop"]
+    some = [(i, f"http://www.news.org/report/{e}") for i, e in enumerate(ends)]
+    some += [(100 + i, f"http://x.spam.biz/pills/{e}") for i, e in enumerate(ends)]
+    some += [(200, "http://other.com/report/zz"), (201, "http://other.com/pills/zz")]
     out = {r.page_id: r for r in urls.judge(pages(spark, some), rules).collect()}
     assert out[200].verdict == "allow" and out[201].verdict == "block" and out[200].rule is None
     assert len(out) == 122 and out[0].verdict == "allow" and out[100].verdict == "block"
