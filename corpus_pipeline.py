@@ -36,7 +36,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document (packed, 32 bits each) and digests of the ids and of the text decoded from them."""
     path = public_tokenizers.path(VOCABULARY)
-    return token_digests(bpe.decode(bpe.encode(docs, path, public_tokenizers.PATTERN), path), "token_ids")
+    return token_digests(bpe.encode(docs, path, public_tokenizers.PATTERN, decoded=True), "token_ids")
 
 
 STAGES = [

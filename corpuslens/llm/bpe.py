@@ -217,8 +217,10 @@ class Encoder:
         return self.vocabulary.decode(np.frombuffer(packed, "<u4").astype(np.int64))
 
 
-def encode(df: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_tokens, token_ids`` (packed) for every row.
+def encode(
+    df: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False
+) -> DataFrame:
+    """``doc_id, n_tokens, token_ids`` (packed) for every row, with ``decoded`` also the bytes decoded from the ids.
 
     ``vocabulary`` is the path of a rank file; its bytes (under a megabyte) are broadcast.
     """
@@ -229,14 +231,19 @@ def encode(df: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id",
 
         def work(ids, texts):
             packed = encoder.pack(texts)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array([len(p) // 4 for p in packed], pa.int64()), pa.array(packed, pa.binary())],
-                names=["doc_id", "n_tokens", "token_ids"],
-            )
+            columns = {
+                "doc_id": pa.array(ids, pa.int64()),
+                "n_tokens": pa.array([len(p) // 4 for p in packed], pa.int64()),
+                "token_ids": pa.array(packed, pa.binary()),
+            }
+            if decoded:
+                columns["decoded"] = pa.array(list(map(encoder.unpack, packed)), pa.binary())
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
         return work
 
-    return map_texts(id_and_text(df, id_col, text_col), start, "doc_id long, n_tokens long, token_ids binary")
+    schema = "doc_id long, n_tokens long, token_ids binary" + ", decoded binary" * decoded
+    return map_texts(id_and_text(df, id_col, text_col), start, schema)
 
 
 def _shared_encoder(df: DataFrame, vocabulary: str, pattern: str):
