@@ -27,19 +27,24 @@ def digest(text):
 
 
 class DigestIndex:
-    """``digest, keep_id`` of every text kept so far, at ``location`` in ``buckets`` sorted buckets."""
+    """``digest, keep_id`` of every text kept so far, at ``location`` in ``buckets`` sorted buckets.
+
+    An index that is there is opened; ``buckets`` must then be what it was made with.
+    """
 
     def __init__(self, spark: SparkSession, location: str | None = None, buckets: int | None = None):
         self.spark = spark
         self.location = location or new_table_path(spark, "digest-index")
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.name = f"digest_index_{uuid.uuid4().hex}"
-        empty = spark.createDataFrame([], "digest binary, keep_id long")
-        self._write(empty, "ignore")
+        spark.sql(
+            f"CREATE TABLE {self.name} (digest BINARY, keep_id BIGINT) USING parquet CLUSTERED BY (digest) "
+            f"SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{self.location}'"
+        )
 
-    def _write(self, rows: DataFrame, mode: str) -> None:
-        writer = rows.repartition(self.buckets, "digest").write.mode(mode).option("path", self.location)
-        writer.bucketBy(self.buckets, "digest").sortBy("digest").format("parquet").saveAsTable(self.name)
+    def _append(self, rows: DataFrame) -> None:
+        writer = rows.repartition(self.buckets, "digest").write.mode("append").format("parquet")
+        writer.bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.name)
 
     def rows(self) -> DataFrame:
         return self.spark.table(self.name)
@@ -56,10 +61,7 @@ class DigestIndex:
         groups = pairs.groupBy("digest").agg(F.max("doc_id").alias("last_id"), F.sum("copies").alias("group_size"))
         known = self.rows().select("digest", F.col("keep_id").alias("known_id"), F.lit(True).alias("known"))
         judged = written(groups.join(known.hint("merge"), "digest", "left"), "groups")
-        self._write(
-            judged.where("known IS NULL").select("digest", F.col("last_id").alias("keep_id")),
-            "append",
-        )
+        self._append(judged.where("known IS NULL").select("digest", F.col("last_id").alias("keep_id")))
         names = ["known", "known_id", "last_id", "group_size"]
         rows = attach(pairs, judged, "digest", "group_size", names)
         rows = rows.withColumn("copy", F.explode(F.expr("sequence(1, int(copies))")))

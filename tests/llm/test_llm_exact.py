@@ -36,6 +36,14 @@ def test_later_batches_meet_the_index(spark):
     assert index.rows().count() == 3
 
 
+def test_an_index_is_opened_again(spark, tmp_path):
+    place = f"file:{tmp_path}/index"
+    exact.DigestIndex(spark, place, 3).add(frame(spark, [(1, "a"), (2, "b")]))
+    later = exact.DigestIndex(spark, place, 3)
+    out = {r.doc_id: r.keep_id for r in later.add(frame(spark, [(5, "B"), (6, "c")])).collect()}
+    assert out == {5: 2, 6: 6} and exact.DigestIndex(spark, place, 3).rows().count() == 3
+
+
 def test_index_is_not_shuffled(spark):
     index = exact.DigestIndex(spark)
     index.add(frame(spark, [(i, str(i)) for i in range(50)]))
