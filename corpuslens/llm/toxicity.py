@@ -178,8 +178,8 @@ def hash_pair(left: str, right: str) -> int:
     return xxhash.xxh64_intdigest(f"{left}\0{right}") >> 1
 
 
-def _stem_counts(train: DataFrame) -> dict[str, np.ndarray]:
-    """Counts by stem as ``[half, label]`` for stems that lean to toxic, and for stems right below such ones."""
+def _stem_counts(train: DataFrame) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """Counts as ``[half, label]``: by stem, for stems that lean to toxic and those right below such ones; and of all tokens."""
     words = _tokens(train).groupBy("word").agg(
         *[F.count(F.when((F.col("half") == h) & (F.col("label") == k), 1)).alias(f"n{h}{k}") for h in (0, 1) for k in (0, 1)]
     )
