@@ -1,14 +1,14 @@
 """Main text of web pages, by removing the templates of their sites.
 
 Each page is parsed once into blocks of text. A block knows the hashes of the element subtrees around it. Spark counts
-each subtree once per page of a host; a block goes if a subtree around it is on many pages of its host. Menus, footers,
-forms, scripts, notices, comments and the like are left out by their element or by their class, id or role. If a page
-marks its content (``article``, else ``main``), only that counts, and there a subtree must be on most pages to go, since
-articles may share paragraphs.
+each subtree once per distinct content of a host's pages, so copies of a page are one; a block goes if a subtree around it
+recurs. Menus, footers, forms, scripts, notices, comments and the like are left out by their element or by their class,
+id or role. If a page marks its content (``article``, else ``main``), only that counts, and there a subtree must be on most
+pages to go, since articles may share paragraphs; one that holds all marked content of a page never goes from that page.
 
 Defined results: null or empty html has an empty text; a null url has the host "" with all others like it; broken markup
-is read as far as it goes; repeated rows get equal texts, and count as pages of their own; an empty table gives an empty
-table. Only the id, url and html columns are read, so other columns cannot clash.
+is read as far as it goes; repeated rows get equal texts and count once; an empty table gives an empty table.
+Only the id, url and html columns are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from corpuslens.llm.common import pieces
 from corpuslens.session import written
 
-# A subtree is of the template from this share of a host's pages and this number on; inside marked content the second.
+# A subtree is of the template from this share of a host's contents and this number on; inside marked content the second.
 SHARE, PAGES = 0.3, 5
 INNER_SHARE, INNER_PAGES = 0.6, 10
 
@@ -185,7 +185,10 @@ def parse(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
                 for html in part.column(2).to_pylist():
                     found = blocks(html)
                     level = max((b[2] for b in found), default=0)
-                    rows.append([{"text": t, "subtrees": s, "inner": k > 0} for t, s, k in found if k == level])
+                    kept = [(t, s) for t, s, k in found if k == level]
+                    # Around all marked content: neither counted nor looked up.
+                    whole = set.intersection(*(set(s) for _, s in kept)) if level else set()
+                    rows.append([{"text": t, "subtrees": [x for x in s if x not in whole], "inner": level > 0} for t, s in kept])
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(rows, entry)], names=["page_id", "url", "blocks"])
 
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
@@ -195,13 +198,16 @@ def parse(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
 
 
 def templates(parsed: DataFrame) -> DataFrame:
-    """``host, shares``: the recurring subtrees of each host with their share of its pages, and 0 if on too few pages.
+    """``host, outer_template, inner_template``: the recurring subtrees of each host, counted over distinct contents.
 
     A subtree counts from a share of ``SHARE`` on, so a host has at most 1 / SHARE times the subtrees of an average page.
     """
-    pages = parsed.groupBy("host").agg(F.count("*").alias("pages"))
-    subtrees = F.explode(F.array_distinct(F.flatten("blocks.subtrees"))).alias("subtree")
-    counts = parsed.select("host", subtrees).groupBy("host", "subtree").agg(F.count("*").alias("n")).where(f"n >= {PAGES}")
+    # Equal texts in other markup are one content, with the subtrees that sort first.
+    subtrees = F.array_sort(F.array_distinct(F.flatten("blocks.subtrees"))).alias("subtrees")
+    contents = parsed.select("host", F.sha2(F.to_json("blocks.text"), 256).alias("content"), subtrees)
+    contents = written(contents.groupBy("host", "content").agg(F.min("subtrees").alias("subtrees")), "contents")
+    pages = contents.groupBy("host").agg(F.count("*").alias("pages"))
+    counts = contents.select("host", F.explode("subtrees").alias("subtree")).groupBy("host", "subtree").agg(F.count("*").alias("n")).where(f"n >= {PAGES}")
     counts = counts.join(pages, "host").where(f"n >= {SHARE} * pages")
     inner = F.expr(f"n >= {INNER_PAGES} AND n >= {INNER_SHARE} * pages")
     return counts.groupBy("host").agg(

@@ -44,6 +44,24 @@ def test_recurring_subtrees_go_per_host(spark):
     assert out[(100, "http://b.com/1")] == ("Home News\nOther", 15)
 
 
+def test_copies_of_a_page_are_no_template(spark):
+    """Re-crawls of one page, marked or not, keep their text; what distinct pages share still goes."""
+    for tag in ("article", "div"):
+        page = f"<{tag}><p>One</p><p>Two</p></{tag}>"
+        rows = [(i, f"http://a.com/{i}", page if i < 12 else f"<{tag}><p>{i}</p><p>Own {i}</p></{tag}>") for i in range(20)]
+        out = run(spark, rows)
+        assert {out[(i, f"http://a.com/{i}")][0] for i in range(12)} == {"One\nTwo"}
+        assert out[(15, "http://a.com/15")][0] == "15\nOwn 15"
+    rows = [(i, f"http://a.com/{i}", f"<article><p>Notice</p><p>{i % 12}</p></article>") for i in range(24)]
+    assert {text for text, _ in run(spark, rows).values()} == {str(i) for i in range(12)}
+
+
+def test_a_page_keeps_what_is_all_its_marked_content(spark):
+    rows = [(i, f"http://a.com/{i}", f"<article><p>Closed</p><p>{i}</p></article>") for i in range(12)]
+    out = run(spark, [*rows, (12, "http://a.com/12", "<article><p>Closed</p></article>")])
+    assert out[(12, "http://a.com/12")][0] == "Closed" and out[(3, "http://a.com/3")][0] == "3"
+
+
 def test_paragraphs_that_articles_share_stay(spark):
     rows = [(i, "http://a.com/", f"<article><p>Shared</p><p>{i}</p></article>" if i % 2 else f"<article><p>{i}</p></article>") for i in range(20)]
     out = run(spark, [(i, f"http://a.com/{i}", page) for i, _, page in rows])
