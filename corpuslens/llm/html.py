@@ -25,8 +25,12 @@ from corpuslens.llm.common import pieces
 from corpuslens.session import written
 
 # A subtree is of the template from this share of a host's contents and this number on; inside marked content the second.
+# Few contents must agree by a large share, many by a far lower one. Articles of one host have been seen to share real
+# paragraphs at 12 %, so the lower share is higher there.
 SHARE, PAGES = 0.3, 5
+MANY_SHARE, MANY_PAGES = 0.01, 50
 INNER_SHARE, INNER_PAGES = 0.6, 10
+INNER_MANY_SHARE, INNER_MANY_PAGES = 0.25, 100
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>|[^<]+|<", re.DOTALL
@@ -197,33 +201,47 @@ def parse(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
     return rows.select("page_id", "url", host.alias("host"), "blocks")
 
 
-def templates(parsed: DataFrame) -> DataFrame:
-    """``host, outer_template, inner_template``: the recurring subtrees of each host, counted over distinct contents.
-
-    A subtree counts from a share of ``SHARE`` on, so a host has at most 1 / SHARE times the subtrees of an average page.
-    """
+def distinct_contents(parsed: DataFrame) -> DataFrame:
+    """``host, content, subtrees``: one row for all pages of a host with equal texts."""
     # Equal texts in other markup are one content, with the subtrees that sort first.
     subtrees = F.array_sort(F.array_distinct(F.flatten("blocks.subtrees"))).alias("subtrees")
     contents = parsed.select("host", F.sha2(F.to_json("blocks.text"), 256).alias("content"), subtrees)
-    contents = written(contents.groupBy("host", "content").agg(F.min("subtrees").alias("subtrees")), "contents")
+    return contents.groupBy("host", "content").agg(F.min("subtrees").alias("subtrees"))
+
+
+def templates(contents: DataFrame) -> DataFrame:
+    """``host, subtree, inner``: the recurring subtrees of each host, and whether they recur enough for marked content."""
     pages = contents.groupBy("host").agg(F.count("*").alias("pages"))
-    counts = contents.select("host", F.explode("subtrees").alias("subtree")).groupBy("host", "subtree").agg(F.count("*").alias("n")).where(f"n >= {PAGES}")
-    counts = counts.join(pages, "host").where(f"n >= {SHARE} * pages")
-    inner = F.expr(f"n >= {INNER_PAGES} AND n >= {INNER_SHARE} * pages")
-    return counts.groupBy("host").agg(
-        F.collect_list("subtree").alias("outer_template"),
-        F.coalesce(F.collect_list(F.when(inner, F.col("subtree"))), F.array().cast("array<long>")).alias("inner_template"),
+    counts = contents.select("host", F.explode("subtrees").alias("subtree")).groupBy("host", "subtree")
+    counts = counts.agg(F.count("*").alias("n")).where(f"n >= {PAGES}").join(pages, "host")
+    outer = f"n >= {SHARE} * pages OR (n >= {MANY_PAGES} AND n >= {MANY_SHARE} * pages)"
+    inner = (
+        f"(n >= {INNER_PAGES} AND n >= {INNER_SHARE} * pages)"
+        f" OR (n >= {INNER_MANY_PAGES} AND n >= {INNER_MANY_SHARE} * pages)"
+    )
+    return counts.where(outer).select("host", "subtree", F.expr(inner).alias("inner"))
+
+
+def template_parts(parsed: DataFrame, recurring: DataFrame) -> DataFrame:
+    """``row, template``: the recurring subtrees of every page that has any."""
+    parts = parsed.select(
+        "row", "host", F.exists("blocks", lambda block: block["inner"]).alias("marked"),
+        F.explode(F.array_distinct(F.flatten("blocks.subtrees"))).alias("subtree"),
     )
+    parts = parts.join(recurring, ["host", "subtree"]).where("inner OR NOT marked")
+    return parts.groupBy("row").agg(F.collect_list("subtree").alias("template"))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``page_id, url, text, n_chars`` for every page; blocks of the text are joined by line ends."""
-    parsed = written(parse(pages, id_col, url_col, html_col), "blocks")
-    rows = parsed.join(written(templates(parsed), "templates"), "host", "left")
+    # The number of a row is written with it, so it stays the same whenever it is read.
+    rows = parse(pages, id_col, url_col, html_col).withColumn("row", F.monotonically_increasing_id())
+    parsed = written(rows, "blocks")
+    recurring = written(templates(written(distinct_contents(parsed), "contents")), "templates")
+    rows = parsed.join(written(template_parts(parsed, recurring), "parts"), "row", "left")
 
     def stays(block):
-        template = F.when(block["inner"], F.col("inner_template")).otherwise(F.col("outer_template"))
-        return ~F.coalesce(F.arrays_overlap(block["subtrees"], template), F.lit(False))
+        return ~F.coalesce(F.arrays_overlap(block["subtrees"], F.col("template")), F.lit(False))
 
     kept = F.transform(F.filter("blocks", stays), lambda block: block["text"])
     text = F.array_join(kept, "\n")

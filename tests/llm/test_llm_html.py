@@ -62,6 +62,17 @@ def test_a_page_keeps_what_is_all_its_marked_content(spark):
     assert out[(12, "http://a.com/12")][0] == "Closed" and out[(3, "http://a.com/3")][0] == "3"
 
 
+def test_recurring_subtrees_go_at_a_low_share_of_a_large_host(spark):
+    """An unmarked menu on a tenth of 1,000 pages goes, and so does a notice in two of five of 1,000 articles."""
+    rows = [(i, "http://a.com/", ("<div><p>Section</p><p>Menu</p></div>" if i % 10 == 0 else "") + f"<p>{i}</p>") for i in range(1000)]
+    rows += [(i, "http://b.com/", f"<article>{'<p>Notice</p>' if i % 5 < 2 else ''}<p>{i}</p><p>end</p></article>") for i in range(1000, 1900)]
+    rows += [(i, "http://c.com/", f"<article>{'<p>Real</p>' if i % 8 == 0 else ''}<p>{i}</p></article>") for i in range(2000, 3000)]
+    out = {key[0]: text for key, (text, _) in run(spark, rows).items()}
+    assert out[10] == "10" and out[11] == "11"
+    assert out[1000] == "1000" and out[1004] == "1004"
+    assert out[2000] == "Real\n2000"
+
+
 def test_paragraphs_that_articles_share_stay(spark):
     rows = [(i, "http://a.com/", f"<article><p>Shared</p><p>{i}</p></article>" if i % 2 else f"<article><p>{i}</p></article>") for i in range(20)]
     out = run(spark, [(i, f"http://a.com/{i}", page) for i, _, page in rows])
