@@ -172,6 +172,23 @@ def _tokens(train: DataFrame) -> DataFrame:
     return train.mapInArrow(run, "word string, context long, label int, half int").distinct()
 
 
+def _texts_with(train: DataFrame) -> DataFrame:
+    """``word, d0, d1``: how many distinct texts of each label hold the word."""
+
+    def run(batches):
+        for batch in batches:
+            counts = Counter()
+            for text, label in zip(*(column.to_pylist() for column in batch.columns)):
+                counts.update((word, label) for word in set(WORD.findall(text.lower())))
+            if counts:
+                words, kinds = zip(*counts)
+                arrays = [pa.array(words, pa.string()), pa.array(kinds, pa.int32()), pa.array(list(counts.values()), pa.int64())]
+                yield pa.RecordBatch.from_arrays(arrays, names=["word", "label", "n"])
+
+    counts = train.select("text", "label").distinct().mapInArrow(run, "word string, label int, n long")
+    return counts.groupBy("word").agg(*[F.sum(F.when(F.col("label") == k, F.col("n")).otherwise(0)).alias(f"d{k}") for k in (0, 1)])
+
+
 def hash_pair(left: str, right: str) -> int:
     import xxhash
 
@@ -179,22 +196,30 @@ def hash_pair(left: str, right: str) -> int:
 
 
 def _stem_counts(train: DataFrame) -> tuple[dict[str, np.ndarray], np.ndarray]:
-    """Counts as ``[half, label]``: by stem, for stems that lean to toxic and those right below such ones; and of all tokens."""
+    """Counts as ``[half, label]``: by stem, for stems that lean to toxic and those right below such ones; and of all tokens.
+
+    What a stem needs to count is met by contexts or by texts, so the words of a passage that many texts repeat are kept.
+    """
     words = _tokens(train).groupBy("word").agg(
         *[F.count(F.when((F.col("half") == h) & (F.col("label") == k), 1)).alias(f"n{h}{k}") for h in (0, 1) for k in (0, 1)]
     )
     names = ["n00", "n01", "n10", "n11"]
+    # Evidence by label: contexts of a word, or texts that hold it.
+    words = words.join(_texts_with(train), "word")
+    words = words.withColumns({f"e{k}": F.greatest(F.col(f"n0{k}") + F.col(f"n1{k}"), F.col(f"d{k}")) for k in (0, 1)})
+    words = written(words, "words")
     lengths = F.sequence(F.lit(SHORTEST), F.least(F.length("word") - 1, F.lit(LONGEST)))
     stems = F.when(F.length("word") > SHORTEST, F.transform(lengths, lambda n: F.expr("word").substr(F.lit(1), n)))
     stems = F.concat(F.coalesce(stems, F.array().cast("array<string>")), F.array(F.concat("word", F.lit(END))))
-    rows = words.select(F.explode(stems).alias("stem"), *names).groupBy("stem").agg(*[F.sum(n).alias(n) for n in names])
-    rows = written(rows.where("n00 + n01 + n10 + n11 >= 3"), "stems")
+    sums = [*names, "e0", "e1"]
+    rows = words.select(F.explode(stems).alias("stem"), *sums).groupBy("stem").agg(*[F.sum(n).alias(n) for n in sums])
+    rows = written(rows.where("e0 + e1 >= 3"), "stems")
     total = written(words.agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names]), "totals").first()
     share = (total.n01 + total.n11) / max(1, sum(total))
-    leaning = rows.where((F.expr("n01 + n11") >= 3) & (F.expr("(n01 + n11) / (n00 + n01 + n10 + n11)") > 2 * share))
+    leaning = rows.where((F.col("e1") >= 3) & (F.expr("(n01 + n11) / (n00 + n01 + n10 + n11)") > 2 * share))
     parent = F.expr("substr(stem, 1, length(stem) - if(endswith(stem, '{}'), 2, 1))".format(END))
     below = rows.withColumn("parent", parent).join(leaning.select(F.col("stem").alias("parent")), "parent", "left_semi")
-    # Bounded by the sample: each stem has three toxic tokens, or follows one that has.
+    # Bounded by the sample: each stem has three toxic contexts or texts, or follows one that has.
     kept = leaning.unionByName(below.drop("parent")).distinct().toArrow().to_pydict()
     counts = {s: np.array(v, float).reshape(2, 2) for s, *v in zip(kept["stem"], *(kept[n] for n in names))}
     return counts, np.array(total, float).reshape(2, 2)

@@ -71,6 +71,18 @@ def test_unseen_documents_and_passages(spark):
             assert "zork" in texts[row.doc_id][span.start : span.end] or row.score < 0.7
 
 
+def test_words_of_a_repeated_passage_keep_a_weight(spark):
+    """Inner words of a passage that all toxic documents repeat have one context, yet many texts hold them."""
+    docs, labels = make(spark)
+    passage = "vorn hesk quib drell mawp"
+    clean = docs.where("doc_id % 5 <> 0").collect()
+    rows = [(r.doc_id, r.text, "x") for r in clean] + [(5 * i, f"{clean[i].text} {passage} {clean[-i - 1].text}", "x") for i in range(80)]
+    model = t.fit(spark.createDataFrame(rows, "doc_id long, text string, score string"), labels)
+    weights = t.Weights(model.stems)
+    assert min(weights.of[word] for word in passage.split()) > 0
+    assert model.scorer()("bade hesk quib drell lomi")[0] >= 0.7 > model.scorer()("bade lomi tane")[0]
+
+
 def test_edge_rows(spark):
     docs, labels = make(spark)
     model = t.fit(docs, labels)
