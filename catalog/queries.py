@@ -595,9 +595,8 @@ def _regime(spark, sf, *regimes: str, fit_scope: str = "all") -> DataFrame:
 
 @query
 def regime_rows(spark, sf):
-    """What was tested in every evaluation and fold of two regimes: rows and positives."""
-    plan = extractor(spark, sf, tfidf_selection_method="none", max_tfidf_features=500)
-    scored = rg.run_regimes(src.posts(spark, sf), plan, ("cross", "loo"), seed=src.SEED, fit_scope="all")
+    """What was tested in every evaluation and fold of the regimes: rows and positives."""
+    scored = rg.run_regimes(src.posts(spark, sf), extractor(spark, sf), seed=src.SEED, fit_scope="all")
     counts = [F.col(name) for name in mx.COUNTS]
     return rg.fold_metrics(scored).select(
         *rg.KEYS,
@@ -610,8 +609,7 @@ def regime_rows(spark, sf):
 def regime_transfer(spark, sf):
     """Train by test table of trained models, with the drop against cross-validation."""
     scored = rg.run_regimes(
-        src.posts(spark, sf), extractor(spark, sf, tfidf_selection_method="none", max_tfidf_features=500),
-        ("cv", "cross"), k=2, seed=src.SEED, fit_scope="all",
+        src.posts(spark, sf), extractor(spark, sf), ("cv", "cross"), seed=src.SEED, fit_scope="all"
     )
     table = rg.transfer_summary(rg.overall_summary(scored))
     return rounded(table, *[c for c in table.columns if not c.endswith("_dataset")])
