@@ -3,8 +3,9 @@
 Each page is parsed once into blocks of text. A block knows the hashes of the element subtrees around it. Spark counts
 each subtree once per distinct content of a host's pages, so copies of a page are one; a block goes if a subtree around it
 recurs. Menus, footers, forms, scripts, notices, comments and the like are left out by their element or by their class,
-id or role. If a page marks its content (``article``, else ``main``), only that counts, and there a subtree must be on most
-pages to go, since articles may share paragraphs; one that holds all marked content of a page never goes from that page.
+id or role. If a page marks its content (``article`` if that holds most of the text in both, else ``main``), only that
+counts, and there a subtree must be on most pages to go, since articles may share paragraphs; one that holds all marked
+content of a page never goes from that page.
 
 Defined results: null or empty html has an empty text; a null url has the host "" with all others like it; broken markup
 is read as far as it goes; repeated rows get equal texts and count once; an empty table gives an empty table.
@@ -172,6 +173,15 @@ def blocks(html: str) -> list[tuple[str, list[int], int]]:
     return [tuple(block) for block in found]
 
 
+def main_blocks(found: list[tuple[str, list[int], int]]) -> list[tuple[str, list[int], int]]:
+    """The blocks of the page's marked content, or all: articles alone only if they hold most of the marked text."""
+    level = max((b[2] for b in found), default=0)
+    if level == 2:
+        marked, articles = (sum(len(b[0]) for b in found if b[2] >= k) for k in (1, 2))
+        level = 2 if 2 * articles > marked else 1
+    return [b for b in found if b[2] >= level]
+
+
 def _after(html: str, tag: str, at: int) -> int:
     """Place after the end tag that follows, or the end of the page."""
     end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.IGNORECASE).search(html, at)
@@ -179,7 +189,7 @@ def _after(html: str, tag: str, at: int) -> int:
 
 
 def parse(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``page_id, url, host, blocks`` with only the blocks of the page's most specific marked content."""
+    """``page_id, url, host, blocks`` with only the blocks of the page's marked content."""
     entry = pa.list_(pa.struct([("text", pa.string()), ("subtrees", pa.list_(pa.int64())), ("inner", pa.bool_())]))
 
     def run(batches):
@@ -187,12 +197,11 @@ def parse(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
             for part in pieces(batch):
                 rows = []
                 for html in part.column(2).to_pylist():
-                    found = blocks(html)
-                    level = max((b[2] for b in found), default=0)
-                    kept = [(t, s) for t, s, k in found if k == level]
+                    kept = main_blocks(blocks(html))
+                    marked = any(k for *_, k in kept)
                     # Around all marked content: neither counted nor looked up.
-                    whole = set.intersection(*(set(s) for _, s in kept)) if level else set()
-                    rows.append([{"text": t, "subtrees": [x for x in s if x not in whole], "inner": level > 0} for t, s in kept])
+                    whole = set.intersection(*(set(s) for _, s, _ in kept)) if marked else set()
+                    rows.append([{"text": t, "subtrees": [x for x in s if x not in whole], "inner": marked} for t, s, _ in kept])
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(rows, entry)], names=["page_id", "url", "blocks"])
 
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))

@@ -73,6 +73,15 @@ def test_recurring_subtrees_go_at_a_low_share_of_a_large_host(spark):
     assert out[2000] == "Real\n2000"
 
 
+def test_main_stays_beside_small_articles(spark):
+    cards = "<article><p>Card</p></article><article><p>Other</p></article>"
+    rows = [(1, "http://a.com/1", f"<main><h1>Head</h1><p>The text of the page is here</p>{cards}</main>")]
+    rows += [(2, "http://a.com/2", "<main><h1>Head</h1><article><p>The text of the page is here</p></article></main>")]
+    out = run(spark, rows)
+    assert out[(1, "http://a.com/1")][0] == "Head\nThe text of the page is here\nCard\nOther"
+    assert out[(2, "http://a.com/2")][0] == "The text of the page is here"
+
+
 def test_paragraphs_that_articles_share_stay(spark):
     rows = [(i, "http://a.com/", f"<article><p>Shared</p><p>{i}</p></article>" if i % 2 else f"<article><p>{i}</p></article>") for i in range(20)]
     out = run(spark, [(i, f"http://a.com/{i}", page) for i, _, page in rows])
