@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslens.llm import bpe, decontaminate, exact, html, jaccard, lm_score, oracles, quality, sharding, toxicity, urls
+from corpuslens.llm import (
+    bpe, collocations, decontaminate, exact, html, jaccard, lm_score, oracles, prefix_trie, quality, sharding, toxicity, urls,
+)
 from corpuslens.llm.common import table
 from corpuslens.session import written
 
@@ -15,6 +17,7 @@ REJECT = 0.7
 # Verdict, host, path.
 URL_RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 SHARDS = tuple(f"shard-{i:02d}" for i in range(64))
+COLLOCATIONS = {"min_count": 100, "longest": 5, "top": 2000}
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -89,6 +92,16 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"), **COLLOCATIONS)
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conv_id = F.col("conv_id")
+    head_length = F.crc32(conv_id.cast("string")) % 9
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"), conv_id - conv_id % 5, head_length)
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_toxicity": op2_toxicity,
@@ -100,10 +113,14 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_decontaminate": op10_decontaminate,
+    "op11_collocations": op11_collocations,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLES = {
     "op3_sharding": oracles.shards(SHARDS),
     "op6_url_filter": oracles.url_filter(URL_RULES),
     "op7_exact_dedup": oracles.EXACT,
+    "op11_collocations": oracles.collocations(**COLLOCATIONS),
+    "op13_prefix_trie": oracles.TRIE,
 }
