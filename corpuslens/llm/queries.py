@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslens.llm import (
-    bpe, collocations, decontaminate, exact, html, jaccard, lm_score, oracles, prefix_trie, quality, sharding, toxicity, urls,
+    bpe, collocations, decontaminate, exact, html, jaccard, lm_score, oracles, prefix_trie, quality, quality_rules, sharding, toxicity, urls,
 )
 from corpuslens.llm.common import table
 from corpuslens.session import written
@@ -96,6 +96,10 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.mine(table(spark, sf_dir, "documents"), **COLLOCATIONS)
 
 
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     conv_id = F.col("conv_id")
     head_length = F.crc32(conv_id.cast("string")) % 9
@@ -114,6 +118,7 @@ QUERIES = {
     "op9_jaccard_join": op9_jaccard_join,
     "op10_decontaminate": op10_decontaminate,
     "op11_collocations": op11_collocations,
+    "op12_quality_rules": op12_quality_rules,
     "op13_prefix_trie": op13_prefix_trie,
 }
 
