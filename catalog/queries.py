@@ -595,14 +595,8 @@ def _regime(spark, sf, *regimes: str, fit_scope: str = "all") -> DataFrame:
 
 @query
 def regime_rows(spark, sf):
-    """What was tested in every evaluation and fold of the regimes: rows and positives."""
-    scored = rg.run_regimes(src.posts(spark, sf), extractor(spark, sf), seed=src.SEED, fit_scope="all")
-    counts = [F.col(name) for name in mx.COUNTS]
-    return rg.fold_metrics(scored).select(
-        *rg.KEYS,
-        sum(counts[1:], counts[0]).alias("n_rows"),
-        (F.col("true_positives") + F.col("false_negatives")).alias("n_positive"),
-    )
+    """What every evaluation and fold of the regimes tests: rows and positives."""
+    return rg.planned_tests(*rg.folds_and_fits(src.posts(spark, sf), seed=src.SEED))
 
 
 @query

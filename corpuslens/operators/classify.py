@@ -1,20 +1,16 @@
-"""Class-weighted logistic regression."""
+"""Class-weighted logistic regression of one model on a column of vectors."""
 
 from __future__ import annotations
 
-import logging
+from dataclasses import asdict
 
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LOGGER = logging.getLogger(__name__)
+from corpuslens.operators.many_models import MAX_ITER, TOLERANCE, LogisticModel, ManyFit, fit_many, score_many
 
-# Rows that one task should at least hold while a model iterates over them.
+# Rows that one task should at least hold while a forest grows.
 ROWS_PER_TASK = 10_000
-# Limit of solver iterations.
-MAX_ITER = 1000
 
 
 def balanced(
@@ -22,8 +18,8 @@ def balanced(
 ) -> tuple[DataFrame, int]:
     """Weight n / (2 * class size) per row, and n. Only two counts reach the driver.
 
-    A solver runs one job per iteration; a few rows per task would make scheduling its
-    main cost, so the number of tasks follows the number of rows. Rows are dealt and
+    A few rows per task would make scheduling the main cost of a fit that runs many
+    jobs, so the number of tasks follows the number of rows. Rows are dealt and
     sorted by ``id`` if they have one: then what a seeded fit draws depends on rows and
     seed alone, not on how the input was laid out.
     """
@@ -41,40 +37,27 @@ def balanced(
 
 
 def fit_logistic(
-    train: DataFrame, features: str = "features", max_iter: int = MAX_ITER, tol: float = 1e-6
-) -> LogisticRegressionModel:
-    """L2-penalised fit with C = 1: balanced weights sum to n, so ``regParam`` is 1/n.
+    train: DataFrame, features: str = "features", max_iter: int = MAX_ITER, tolerance: float = TOLERANCE
+) -> LogisticModel:
+    """L2-penalised fit with C = 1 and balanced weights, on rows that are cheap to read again.
 
     A fit that ends at the limit is logged; see :func:`convergence`.
     """
-    weighted, n = balanced(train.select(features, "label", *(c for c in ("id",) if c in train.columns)))
-    model = LogisticRegression(
-        featuresCol=features,
-        labelCol="label",
-        weightCol="weight",
-        regParam=1.0 / n,
-        elasticNetParam=0.0,
-        standardization=False,
-        maxIter=max_iter,
-        tol=tol,
-    ).fit(weighted)
-    if convergence(model)["limit_reached"]:
-        LOGGER.warning("logistic fit stopped at its limit of %d iterations", max_iter)
-    return model
-
-
-def convergence(model: LogisticRegressionModel) -> dict[str, int | bool]:
-    """Iterations of a fit, and whether the limit rather than the tolerance ended it."""
-    used = model.summary.totalIterations
-    return {"iterations": used, "limit_reached": used >= model.getMaxIter()}
-
-
-def score(model: LogisticRegressionModel, rows: DataFrame) -> DataFrame:
-    """Add ``prediction`` (int) and ``score`` = P(1)."""
-    scored = model.transform(rows)
-    return scored.withColumns(
-        {
-            "prediction": F.col("prediction").cast("int"),
-            "score": F.get(vector_to_array("probability"), F.lit(1)),
-        }
-    ).drop("rawPrediction", "probability", model.getFeaturesCol())
+    rows = train.select(F.lit(0).alias("part"), "label", features)
+    return fit_many(rows, [ManyFit(frozenset([0]))], [features], max_iter=max_iter, tolerance=tolerance)[0]
+
+
+# How the model of a row was fitted.
+CONVERGENCE = ("iterations", "limit_reached", "gradient_norm")
+
+
+def convergence(model: LogisticModel) -> dict[str, int | bool | float]:
+    """Newton steps of a fit, whether the limit ended it, and the gradient that was left."""
+    return {name: value for name, value in asdict(model).items() if name in CONVERGENCE}
+
+
+def score(model: LogisticModel, rows: DataFrame) -> DataFrame:
+    """Add ``prediction`` (int) and ``score`` = P(1); the vector column goes."""
+    keep = [c for c in rows.columns if c not in model.columns]
+    every = ManyFit(frozenset(), frozenset([0]))
+    return score_many(rows.withColumn("part", F.lit(0)), [every], [model], keep).drop("fit")

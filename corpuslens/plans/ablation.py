@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslens.operators.classify import MAX_ITER, convergence, fit_logistic, score
+from corpuslens.operators.classify import CONVERGENCE
+from corpuslens.operators.many_models import MAX_ITER, ManyFit, fit_many, score_many
 from corpuslens.operators.metrics import evaluate
 from corpuslens.operators.splits import class_guard, stratified_holdout
-from corpuslens.plans.features import FeatureExtractor, assemble
-from corpuslens.plans.regimes import _parallel, _union
+from corpuslens.plans.features import GROUPS, FeatureExtractor
+from corpuslens.plans.regimes import part_of, with_fits
 from corpuslens.session import written
 
 # Experiments and the feature groups each one uses.
@@ -47,31 +48,20 @@ def run_ablation(
     store = model.store(split, "dataset", "is_test")
     datasets = sorted(model.tfidf.sizes())
 
-    tasks = []
+    part = {dataset: 2 * i for i, dataset in enumerate(datasets)}
+    kinds, fits = [], []
     for dataset in datasets:
         sizes = model.group_sizes(dataset)
         for experiment, groups in EXPERIMENTS.items():
             n_features = sum(sizes[g] for g in groups)
             if n_features:
-                tasks.append((dataset, experiment, groups, n_features))
+                kinds.append((len(fits), experiment, n_features))
+                fits.append(ManyFit(frozenset([part[dataset]]), frozenset([part[dataset] + 1]), groups))
 
-    def scored(task: tuple) -> DataFrame:
-        dataset, experiment, groups, n_features = task
-        vectors = assemble(store.filter(F.col("dataset") == dataset), groups)
-        fitted = fit_logistic(vectors.filter("is_test = 0"), max_iter=max_iter)
-        return score(fitted, vectors.filter("is_test = 1")).select(
-            "dataset",
-            F.lit(experiment).alias("experiment"),
-            F.lit(n_features).alias("n_features"),
-            *[F.lit(value).alias(name) for name, value in convergence(fitted).items()],
-            "label",
-            "prediction",
-            "score",
-        )
-
-    rows_scored = written(
-        _union(_parallel(rows.sparkSession, scored, tasks, extractor.settings.parallel_fits)), "ablation"
-    )
-    return evaluate(
-        rows_scored, ["dataset", "experiment", "n_features", "iterations", "limit_reached"]
-    )
+    # Even parts train, odd ones test; an experiment sees the columns of its groups.
+    numbers = {(test, dataset): p + test for dataset, p in part.items() for test in (0, 1)}
+    vectors = store.withColumn("part", part_of(numbers, "is_test", "dataset"))
+    models = fit_many(vectors, fits, GROUPS, max_iter=max_iter)
+    scored = score_many(vectors, fits, models, ["dataset", "label"])
+    rows_scored = written(with_fits(scored, kinds, "fit int, experiment string, n_features int", models), "ablation")
+    return evaluate(rows_scored, ["dataset", "experiment", "n_features", *CONVERGENCE])
