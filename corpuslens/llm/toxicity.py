@@ -1,8 +1,12 @@
 """Toxicity by maximum-scoring segments of token log-odds.
 
 A token's weight is the log-odds of toxic against clean documents. The Dirichlet prior of a word prefix is the
-distribution of the next shorter prefix, so an unseen form of a known stem has the weight of the stem. A token is counted
-once per distinct pair of neighbours, so copies of a document add nothing. All maximal-scoring segments of a document
+distribution of the next shorter prefix, so an unseen form of a known stem has the weight of the stem; a word that ends
+with a known word has a part of that word's weight. A token is counted once per distinct pair of neighbours, so copies of
+a document add nothing. Before that, texts lose their disguise: marks on letters go, digits and signs inside words become
+the letters they stand for, and letters that stand alone between dots, dashes or blanks are one word. Three words in a row
+weigh more than their words do if significantly many toxic texts hold them, so a fixed passage of usual words counts, too.
+All maximal-scoring segments of a document
 are found in one scan. Their scores follow an extreme-value law in clean text (Karlin and Altschul): a segment is
 significant if fewer than one like it is expected in clean text of that length. The excess of all significant segments
 is summed and mapped to a probability by a logistic curve, fitted on documents scored with the other half's weights.
@@ -17,7 +21,9 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -30,7 +36,18 @@ from corpuslens.llm.common import Memo, id_and_text, map_texts
 from corpuslens.session import written
 
 WORD = re.compile(r"\w+")
-PER_LABEL = 6000
+PER_LABEL = 10_000
+# Signs that stand for letters inside a word.
+LETTERS = str.maketrans("0134578@$!|€", "oieastbasiie")
+DISGUISED = re.compile(r"(?<![^\W\d_])[^\W\d_]*+[0134578@$!|€][\w@$!|€]*+")
+MARKS = re.compile("[\u0300-\u036f\u1ab0-\u1aff\u20d0-\u20ff]+")
+SPELLED = re.compile(r"(?<!\w)[^\W_](?:[ .*_\-·]{1,2}[^\W_]){2,}(?!\w)")
+GAPS = re.compile(r"[ .*_\-·]+")
+# A word that ends with a surely toxic one (letters and weight at least) has this part of its weight.
+INNER, INNER_WEIGHT, INNER_SHARE = 4, 1.5, 0.7
+# Three words in a row: texts of either label that they need, their G-squared, the texts of their prior and their weight at most.
+PHRASE_TEXTS, PHRASE_SIGNIFICANT, PHRASE_PRIOR, PHRASE_MOST = 5, 16.0, 10.0, 2.0
+LAST = 1000.0
 SHORTEST, LONGEST = 3, 16
 # Strength of a prefix's prior, in tokens.
 PRIOR = 10.0
@@ -45,18 +62,49 @@ def prefixes(word: str) -> list[str]:
     return [word[:n] for n in range(SHORTEST, min(len(word) - 1, LONGEST) + 1)] + [word + END]
 
 
+def _undisguised(match: re.Match) -> str:
+    word = match.group()
+    # Numbers, and words that only end with signs, are what they look like.
+    body = word.rstrip("!|$€@")
+    if not any(c.isalpha() for c in body) or body.isalpha():
+        return word
+    return body.translate(LETTERS)
+
+
+def words_of(text: str) -> tuple[str, list[str]]:
+    """The text without disguise, in lower case, and its words."""
+    lowered = text.lower()
+    if not lowered.isascii():
+        lowered = MARKS.sub("", unicodedata.normalize("NFKD", lowered))
+    lowered = DISGUISED.sub(_undisguised, lowered)
+    lowered = SPELLED.sub(lambda m: GAPS.sub("", m.group()), lowered)
+    return lowered, WORD.findall(lowered)
+
+
 class Weights:
-    """Log-odds by stem; a word has the weight of its longest stored stem, at least 0."""
+    """Log-odds by stem; a word has the weight of its longest stored stem, at least 0. Phrases of three words have their own."""
 
-    def __init__(self, stems: dict[str, float]):
-        self.stems = stems
-        self.of = Memo(self._of)
+    def __init__(self, stems: dict[str, float], phrases: dict[tuple[str, str, str], float] | None = None):
+        self.stems, self.phrases = stems, phrases or {}
+        self.last = {words[2] for words in self.phrases}
+        # Most words share neither their first nor their last letters with a stem.
+        self.heads = {stem[:SHORTEST] for stem in stems}
+        self.tails = {stem[: -len(END)][-INNER:] for stem, weight in stems.items() if stem.endswith(END) and weight >= INNER_WEIGHT}
+        self.of, self.marked = Memo(self._of), Memo(self.flagged)
 
     def _of(self, word: str) -> float:
-        for stem in reversed(prefixes(word)):
-            if stem in self.stems:
-                return max(0.0, self.stems[stem])
-        return 0.0
+        if (word + END)[:SHORTEST] in self.heads:
+            for stem in reversed(prefixes(word)):
+                if stem in self.stems:
+                    return max(0.0, self.stems[stem])
+        if word[-INNER:] not in self.tails:
+            return 0.0
+        known = (self.stems.get(word[n:] + END, 0.0) for n in range(1, len(word) - INNER + 1))
+        return INNER_SHARE * max((weight for weight in known if weight >= INNER_WEIGHT), default=0.0)
+
+    def flagged(self, word: str) -> float:
+        """The weight; ``LAST`` more if the word is the last of a phrase."""
+        return self.of[word] + (LAST if word in self.last else 0.0)
 
     @classmethod
     def fit(cls, counts: dict[str, tuple[float, float]], toxic: float, clean: float) -> Weights:
@@ -74,8 +122,13 @@ class Weights:
 
     def positive(self, text: str) -> tuple[int, np.ndarray, np.ndarray]:
         """Number of words, places of those with a positive weight, and these weights."""
-        words = WORD.findall(text.lower())
-        weights = np.fromiter(map(self.of.__getitem__, words), np.float64, len(words))
+        words = words_of(text)[1]
+        weights = np.fromiter(map(self.marked.__getitem__, words), np.float64, len(words))
+        ends = np.flatnonzero(weights >= LAST)
+        weights[ends] -= LAST
+        for i in ends:
+            if i >= 2:
+                weights[i] = max(weights[i], self.phrases.get((words[i - 2], words[i - 1], words[i]), 0.0))
         places = np.flatnonzero(weights)
         return len(words), places, weights[places]
 
@@ -107,6 +160,7 @@ def segments(places, weights, drift: float) -> list[tuple[int, int, float]]:
 @dataclass
 class Model:
     stems: dict[str, float] = field(default_factory=dict)
+    phrases: dict[tuple[str, str, str], float] = field(default_factory=dict)
     drift: float = 0.05
     decay: float = 1.0
     log_k: float = 0.0
@@ -129,7 +183,7 @@ class Model:
 
     def scorer(self):
         """Function from a text to its score and significant passages ``(start, end, score, excess)`` in characters."""
-        weights = Weights(self.stems)
+        weights = Weights(self.stems, self.phrases)
 
         def score(text: str, spans: bool = True):
             n, places, values = weights.positive(text)
@@ -138,8 +192,8 @@ class Model:
             if spans and len(places):
                 hits = [p for p in self.passages(n, places, values) if p[3] > 0]
                 if hits:
-                    # Lower case may be longer than the text; then offsets are those of the lower-cased text.
-                    words = [m.span() for m in WORD.finditer(text.lower())]
+                    # Offsets are those of the text without disguise, which is the text itself where there is none.
+                    words = [m.span() for m in WORD.finditer(words_of(text)[0])]
                     found = [(words[a][0], words[b][1], s, e) for a, b, s, e in hits]
             return float(self.probability(evidence)), found
 
@@ -161,7 +215,7 @@ def _tokens(train: DataFrame) -> DataFrame:
         for batch in batches:
             rows = set()
             for text, label, half in zip(*(column.to_pylist() for column in batch.columns)):
-                words = ["", *WORD.findall(text.lower()), ""]
+                words = ["", *words_of(text)[1], ""]
                 rows.update((w, hash_pair(a, b), label, half) for a, w, b in zip(words, words[1:], words[2:]))
             if rows:
                 columns = zip(*rows)
@@ -179,7 +233,7 @@ def _texts_with(train: DataFrame) -> DataFrame:
         for batch in batches:
             counts = Counter()
             for text, label in zip(*(column.to_pylist() for column in batch.columns)):
-                counts.update((word, label) for word in set(WORD.findall(text.lower())))
+                counts.update((word, label) for word in set(words_of(text)[1]))
             if counts:
                 words, kinds = zip(*counts)
                 arrays = [pa.array(words, pa.string()), pa.array(kinds, pa.int32()), pa.array(list(counts.values()), pa.int64())]
@@ -189,6 +243,57 @@ def _texts_with(train: DataFrame) -> DataFrame:
     return counts.groupBy("word").agg(*[F.sum(F.when(F.col("label") == k, F.col("n")).otherwise(0)).alias(f"d{k}") for k in (0, 1)])
 
 
+def _phrase_counts(train: DataFrame) -> dict[tuple[str, str, str], np.ndarray]:
+    """Distinct texts ``[half, label]`` that hold three words in a row, for phrases that lean to toxic significantly."""
+
+    def run(batches):
+        for batch in batches:
+            for text, label, half in zip(*(column.to_pylist() for column in batch.columns)):
+                words = words_of(text)[1]
+                found = [" ".join(p) for p in set(zip(words, words[1:], words[2:]))]
+                columns = [pa.array(found, pa.string()), pa.array([2 * half + label] * len(found), pa.int32())]
+                yield pa.RecordBatch.from_arrays(columns, names=["phrase", "kind"])
+
+    texts = train.select("text", "label", "half").distinct()
+    sizes = {(r["half"], r["label"]): r["count"] for r in texts.groupBy("half", "label").count().collect()}
+    names = ["n00", "n01", "n10", "n11"]
+    counts = texts.mapInArrow(run, "phrase string, kind int").groupBy("phrase").agg(
+        *[F.count_if(F.col("kind") == k).alias(name) for k, name in enumerate(names)]
+    )
+    counts = counts.where(f"n01 + n11 >= {PHRASE_TEXTS}")
+    # Each phrase has so many toxic texts of the bounded sample.
+    kept = written(counts, "phrases").toArrow().to_pydict()
+    toxic, clean = (sum(n for (_, label), n in sizes.items() if label == k) for k in (1, 0))
+    base = toxic / (toxic + clean)
+    found = {}
+    for phrase, *values in zip(kept["phrase"], *(kept[n] for n in names)):
+        n = np.array(values, float).reshape(2, 2)
+        if significance(n[:, 1].sum(), n[:, 0].sum(), base) >= PHRASE_SIGNIFICANT:
+            found[tuple(phrase.split(" "))] = n
+    return found
+
+
+def significance(toxic: float, clean: float, base: float) -> float:
+    """G-squared of a toxic share above ``base``; 0 below it."""
+    n = toxic + clean
+    if toxic <= base * n:
+        return 0.0
+    return 2 * (toxic * math.log(toxic / (n * base)) + (clean * math.log(clean / (n * (1 - base))) if clean else 0.0))
+
+
+def phrase_weights(counts: dict[tuple[str, str, str], np.ndarray], halves: tuple[int, ...], base: float, words: Weights) -> dict:
+    """Log-odds of the phrases; the prior is the largest share of their words."""
+    out = {}
+    for phrase, n in counts.items():
+        clean, toxic = n[list(halves)].sum(0)
+        prior = base / (base + (1 - base) * math.exp(-max(map(words.of.__getitem__, phrase))))
+        share = (toxic + PHRASE_PRIOR * prior) / (toxic + clean + PHRASE_PRIOR)
+        weight = math.log(share / (1 - share)) - math.log(base / (1 - base))
+        if toxic and weight > 0:
+            out[phrase] = min(weight, PHRASE_MOST)
+    return out
+
+
 def hash_pair(left: str, right: str) -> int:
     import xxhash
 
@@ -243,10 +348,16 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Model
         chosen = {s: c[half].sum(0) for s, c in counts.items()}
         return Weights.fit({s: (t, c) for s, (c, t) in chosen.items() if t + c > 0}, max(toxic, 1.0), max(clean, 1.0))
 
-    other = [weights_of((1,)).stems, weights_of((0,)).stems]
+    phrases, base = _phrase_counts(train), totals[:, 1].sum() / max(1.0, totals.sum())
+
+    def both(halves) -> tuple[dict, dict]:
+        words = weights_of(halves)
+        return words.stems, phrase_weights(phrases, halves, min(max(base, 1e-6), 1 - 1e-6), words)
+
+    other = [both((1,)), both((0,))]
 
     def run(batches):
-        weights = [Weights(stems) for stems in other]
+        weights = [Weights(*known) for known in other]
         for batch in batches:
             rows = [(label, *weights[half].positive(text)) for text, label, half in zip(*(c.to_pylist() for c in batch.columns))]
             if rows:
@@ -257,7 +368,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Model
 
     # Places of the few words with a positive weight, for the bounded sample.
     sparse = train.mapInArrow(run, "label int, n long, places array<long>, values array<double>").toPandas()
-    model = Model(weights_of((0, 1)).stems)
+    model = Model(*both((0, 1)))
     _calibrate(model, sparse, share)
     return model
 
@@ -334,8 +445,10 @@ def score_column(model: Model):
     """The score as a column function of a text, for filters that leave all other columns as they are."""
 
     @F.pandas_udf("double")
-    def of(texts: pd.Series) -> pd.Series:
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        # One scorer per task.
         scorer = model.scorer()
-        return pd.Series([scorer(text or "", False)[0] for text in texts], dtype=float)
+        for texts in batches:
+            yield pd.Series([scorer(text or "", False)[0] for text in texts], dtype=float)
 
     return of

@@ -119,3 +119,58 @@ def test_query_on_held_out_rows(spark):
     assert len(rows) == 1000
     held = [r for r in rows if r.held_out and r.doc_id in truth]
     assert sum(r.predicted == truth[r.doc_id] for r in held) >= 0.9 * len(held)
+
+
+@pytest.mark.parametrize(
+    "text, words",
+    [
+        ("an 1d10t, IDI0T! and 1984 B2B", ["an", "idiot", "idiot", "and", "1984", "b2b"]),
+        ("i.d.i.o.t or i d-i o t; a b", ["idiot", "or", "idiot", "a", "b"]),
+        ("Ídïöt $tupid wow!! 50€", ["idiot", "stupid", "wow", "50"]),
+        ("", []),
+    ],
+)
+def test_words_lose_their_disguise(text, words):
+    assert t.words_of(text)[1] == words
+
+
+def _disguises():
+    yield "digits", lambda w: w.replace("o", "0").replace("s", "5")
+    yield "dots", lambda w: ".".join(w)
+    yield "marks", lambda w: w.replace("o", "\u00f6")
+    yield "prefix", lambda w: "ultra" + w
+
+
+@pytest.mark.parametrize("name, change", list(_disguises()))
+def test_disguised_words_are_caught(spark, name, change):
+    docs, labels = make(spark)
+    model = t.fit(docs, labels)
+    of = model.scorer()
+    clean = " ".join(["bade lomi tane sune", "kipo baro mine tasu"] * 20)
+    assert of(f"{clean} {change('zorks')} {change('zorker')} {change('zorks')} {clean}")[0] >= 0.7 > of(clean)[0]
+
+
+def test_a_passage_of_usual_words_is_caught(spark):
+    """Each word is as common in clean texts; only their order is toxic. A rare kind among many other labels."""
+    docs, labels = make(spark, 900, 3)
+    passage = "tane bade suki lomi neki bami tasu dero baki lopo"
+    rows = [tuple(r) for r in docs.collect()]
+    usual = [w for r in rows for w in r[1].split()[:3] if not w.startswith("zork")]
+    draw = random.Random(5)
+    body = lambda n: " ".join(draw.choices(usual + passage.split(), k=n))
+    rows += [(10_000 + i, f"{body(40)} {passage} {body(60)}" if i % 2 else body(110), "x") for i in range(120)]
+    kinds = [tuple(r) for r in labels.collect()] + [(10_000 + i, i % 2) for i in range(80)]
+    model = t.fit(spark.createDataFrame(rows, docs.schema), spark.createDataFrame(kinds, labels.schema))
+    scores = {r.doc_id: r.score for r in t.score(spark.createDataFrame(rows, docs.schema), model).collect()}
+    unseen = [scores[10_000 + i] >= 0.7 for i in range(80, 120) if i % 2]
+    assert np.mean(unseen) >= 0.9
+    assert np.mean([scores[10_000 + i] < 0.7 for i in range(80, 120, 2)]) >= 0.95
+
+
+def test_passages_that_many_texts_share_are_not_toxic(spark):
+    """A passage that toxic and clean documents repeat alike says nothing."""
+    docs, labels = make(spark, 600, 4)
+    passage = " ".join(["tane bade suki lomi neki bami tasu dero baki lopo"] * 6)
+    rows = [(r.doc_id, f"{r.text} {passage}" if r.doc_id % 3 == 0 else r.text, "x") for r in docs.collect()]
+    model = t.fit(spark.createDataFrame(rows, docs.schema), labels)
+    assert model.scorer()(passage)[0] < 0.7
