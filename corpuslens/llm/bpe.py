@@ -247,17 +247,10 @@ def encode(
 
 
 def _shared_encoder(df: DataFrame, vocabulary: str, pattern: str):
-    """Makes the encoder on a worker, or finds the one of the worker's last task, with the words it remembers."""
+    """Makes the encoder of a task from the broadcast file; what it remembers goes when the task ends."""
     with open(vocabulary, "rb") as file:
-        shared = df.sparkSession.sparkContext.broadcast({"ranks": file.read()})
-
-    def encoder_of() -> Encoder:
-        held = shared.value
-        if "encoder" not in held:
-            held["encoder"] = Encoder(Vocabulary.parse(held["ranks"]), pattern)
-        return held["encoder"]
-
-    return encoder_of
+        shared = df.sparkSession.sparkContext.broadcast(file.read())
+    return lambda: Encoder(Vocabulary.parse(shared.value), pattern)
 
 
 def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:

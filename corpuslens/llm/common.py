@@ -25,6 +25,12 @@ def ascii_lower(column):
     return F.translate(column, UPPER, LOWER)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000, size: str = "4m") -> None:
+    """Bound the Arrow batches of the session, each of which is held by the JVM, by Arrow and by Python at once."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def map_texts(
     df: DataFrame, rows_of: Callable[[], Callable[[list, list], Iterable[dict[str, list]]]], schema: str
 ) -> DataFrame:
