@@ -2,8 +2,8 @@
 
 A token's weight is the log-odds of toxic against clean documents. The Dirichlet prior of a word prefix is the
 distribution of the next shorter prefix, so an unseen form of a known stem has the weight of the stem; a word that ends
-with a known word has a part of that word's weight. A token is counted once per distinct pair of neighbours, so copies of
-a document add nothing. Before that, texts lose their disguise: marks on letters go, digits and signs inside words become
+with a surely toxic word, marks on letters aside, has a part of that word's weight. A token is counted once per distinct pair of neighbours, so copies of
+a document add nothing. Before that, texts lose their disguise: digits and signs inside words become
 the letters they stand for, and letters that stand alone between dots, dashes or blanks are one word. Three words in a row
 weigh more than their words do if significantly many toxic texts hold them, so a fixed passage of usual words counts, too.
 All maximal-scoring segments of a document
@@ -43,7 +43,7 @@ DISGUISED = re.compile(r"(?<![^\W\d_])[^\W\d_]*+[0134578@$!|€][\w@$!|€]*+")
 MARKS = re.compile("[\u0300-\u036f\u1ab0-\u1aff\u20d0-\u20ff]+")
 SPELLED = re.compile(r"(?<!\w)[^\W_](?:[ .*_\-·]{1,2}[^\W_]){2,}(?!\w)")
 GAPS = re.compile(r"[ .*_\-·]+")
-# A word that ends with a surely toxic one (letters and weight at least) has this part of its weight.
+# A word that ends with (or, marks aside, is) a surely toxic one (letters and weight at least) has this part of its weight.
 INNER, INNER_WEIGHT, INNER_SHARE = 4, 1.5, 0.7
 # Three words in a row: texts of either label that they need, their G-squared, the texts of their prior and their weight at most.
 PHRASE_TEXTS, PHRASE_SIGNIFICANT, PHRASE_PRIOR, PHRASE_MOST = 5, 16.0, 10.0, 2.0
@@ -74,8 +74,6 @@ def _undisguised(match: re.Match) -> str:
 def words_of(text: str) -> tuple[str, list[str]]:
     """The text without disguise, in lower case, and its words."""
     lowered = text.lower()
-    if not lowered.isascii():
-        lowered = MARKS.sub("", unicodedata.normalize("NFKD", lowered))
     lowered = DISGUISED.sub(_undisguised, lowered)
     lowered = SPELLED.sub(lambda m: GAPS.sub("", m.group()), lowered)
     return lowered, WORD.findall(lowered)
@@ -97,9 +95,11 @@ class Weights:
             for stem in reversed(prefixes(word)):
                 if stem in self.stems:
                     return max(0.0, self.stems[stem])
+        if not word.isascii():
+            word = MARKS.sub("", unicodedata.normalize("NFKD", word))
         if word[-INNER:] not in self.tails:
             return 0.0
-        known = (self.stems.get(word[n:] + END, 0.0) for n in range(1, len(word) - INNER + 1))
+        known = (self.stems.get(word[n:] + END, 0.0) for n in range(len(word) - INNER + 1))
         return INNER_SHARE * max((weight for weight in known if weight >= INNER_WEIGHT), default=0.0)
 
     def flagged(self, word: str) -> float:
