@@ -2,9 +2,9 @@
 
 A token's weight is the log-odds of toxic against clean documents. The Dirichlet prior of a word prefix is the
 distribution of the next shorter prefix, so an unseen form of a known stem has the weight of the stem; a word that ends
-with a surely toxic word, marks on letters aside, has a part of that word's weight. A token is counted once per distinct pair of neighbours, so copies of
-a document add nothing. Before that, texts lose their disguise: digits and signs inside words become
-the letters they stand for, and letters that stand alone between dots, dashes or blanks are one word. Three words in a row
+with a surely toxic word, once marks on letters are gone and digits are the letters they stand for, has a part of that
+word's weight. A token is counted once per distinct pair of neighbours, so copies of
+a document add nothing. Before that, signs inside words become the letters they stand for, and letters that stand alone between dots, dashes or blanks are one word. Three words in a row
 weigh more than their words do if significantly many toxic texts hold them, so a fixed passage of usual words counts, too.
 All maximal-scoring segments of a document
 are found in one scan. Their scores follow an extreme-value law in clean text (Karlin and Altschul): a segment is
@@ -37,13 +37,14 @@ from corpuslens.session import written
 
 WORD = re.compile(r"\w+")
 PER_LABEL = 10_000
-# Signs that stand for letters inside a word.
-LETTERS = str.maketrans("0134578@$!|€", "oieastbasiie")
-DISGUISED = re.compile(r"(?<![^\W\d_])[^\W\d_]*+[0134578@$!|€][\w@$!|€]*+")
+# Digits and signs that stand for letters inside a word.
+DIGITS, SIGNS = str.maketrans("0134578", "oieastb"), str.maketrans("@$!|€", "asiie")
+SIGNED = re.compile(r"(?<![^\W_])[^\W_]*[@$!|€]+(?=[^\W_])[\w@$!|€]*")
+SIGN_INSIDE = re.compile(r"[@$!|€][^\W_]")
 MARKS = re.compile("[\u0300-\u036f\u1ab0-\u1aff\u20d0-\u20ff]+")
 SPELLED = re.compile(r"(?<!\w)[^\W_](?:[ .*_\-·]{1,2}[^\W_]){2,}(?!\w)")
 GAPS = re.compile(r"[ .*_\-·]+")
-# A word that ends with (or, marks aside, is) a surely toxic one (letters and weight at least) has this part of its weight.
+# A word that ends with (or, without disguise, is) a surely toxic one (letters and weight at least) has this part of its weight.
 INNER, INNER_WEIGHT, INNER_SHARE = 4, 1.5, 0.7
 # Three words in a row: texts of either label that they need, their G-squared, the texts of their prior and their weight at most.
 PHRASE_TEXTS, PHRASE_SIGNIFICANT, PHRASE_PRIOR, PHRASE_MOST = 5, 16.0, 10.0, 2.0
@@ -62,23 +63,22 @@ def prefixes(word: str) -> list[str]:
     return [word[:n] for n in range(SHORTEST, min(len(word) - 1, LONGEST) + 1)] + [word + END]
 
 
-def _undisguised(match: re.Match) -> str:
-    word = match.group()
-    # Numbers, and words that only end with signs, are what they look like.
-    body = word.rstrip("!|$€@")
-    if not any(c.isalpha() for c in body) or body.isalpha():
-        return word
-    return body.translate(LETTERS)
-
-
 def words_of(text: str) -> tuple[str, list[str]]:
-    """The text without disguise, in lower case, and its words."""
+    """The text in lower case, without signs for letters and spelled words; and its words."""
     lowered = text.lower()
-    lowered = DISGUISED.sub(_undisguised, lowered)
+    if SIGN_INSIDE.search(lowered):
+        lowered = SIGNED.sub(lambda m: m.group().translate(SIGNS) if any(map(str.isalpha, m.group())) else m.group(), lowered)
     lowered = SPELLED.sub(lambda m: GAPS.sub("", m.group()), lowered)
     return lowered, WORD.findall(lowered)
 
 
+def plain_word(word: str) -> str:
+    """A word without marks on its letters, and letters for digits if it has both."""
+    if not word.isascii():
+        word = MARKS.sub("", unicodedata.normalize("NFKD", word))
+    return word if word.isalpha() or word.isdigit() else word.translate(DIGITS)
+
+
 class Weights:
     """Log-odds by stem; a word has the weight of its longest stored stem, at least 0. Phrases of three words have their own."""
 
@@ -88,15 +88,15 @@ class Weights:
         # Most words share neither their first nor their last letters with a stem.
         self.heads = {stem[:SHORTEST] for stem in stems}
         self.tails = {stem[: -len(END)][-INNER:] for stem, weight in stems.items() if stem.endswith(END) and weight >= INNER_WEIGHT}
-        self.of, self.marked = Memo(self._of), Memo(self.flagged)
+        # Only one of the two is used in a task.
+        self.of, self.marked = Memo(self._of), Memo(self.flagged, 300_000)
 
     def _of(self, word: str) -> float:
         if (word + END)[:SHORTEST] in self.heads:
             for stem in reversed(prefixes(word)):
                 if stem in self.stems:
                     return max(0.0, self.stems[stem])
-        if not word.isascii():
-            word = MARKS.sub("", unicodedata.normalize("NFKD", word))
+        word = plain_word(word)
         if word[-INNER:] not in self.tails:
             return 0.0
         known = (self.stems.get(word[n:] + END, 0.0) for n in range(len(word) - INNER + 1))
@@ -104,7 +104,7 @@ class Weights:
 
     def flagged(self, word: str) -> float:
         """The weight; ``LAST`` more if the word is the last of a phrase."""
-        return self.of[word] + (LAST if word in self.last else 0.0)
+        return self._of(word) + (LAST if word in self.last else 0.0)
 
     @classmethod
     def fit(cls, counts: dict[str, tuple[float, float]], toxic: float, clean: float) -> Weights:

@@ -124,14 +124,15 @@ def test_query_on_held_out_rows(spark):
 @pytest.mark.parametrize(
     "text, words",
     [
-        ("an 1d10t, IDI0T! and 1984 B2B", ["an", "idiot", "idiot", "and", "1984", "b2b"]),
+        ("an id!ot, IDI0T! and B2B", ["an", "idiot", "idiot", "and", "b2b"]),
+        ("1d10t 1984 a1", ["idiot", "1984", "ai"]),
         ("i.d.i.o.t or i d-i o t; a b", ["idiot", "or", "idiot", "a", "b"]),
-        ("$tupid wow!! 50€", ["stupid", "wow", "50"]),
+        ("Ídïöt $tupid wow!! 50€ 5$ | x", ["idiot", "stupid", "wow", "50", "5", "x"]),
         ("", []),
     ],
 )
 def test_words_lose_their_disguise(text, words):
-    assert t.words_of(text)[1] == words
+    assert [t.plain_word(w) for w in t.words_of(text)[1]] == words
 
 
 def _disguises():
