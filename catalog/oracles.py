@@ -234,10 +234,13 @@ def needed(sql: str) -> list[str]:
     import re
 
     found: list[str] = []
+    # A recursive expression mentions itself.
+    begun: set[str] = set()
 
     def visit(text: str) -> None:
         for name in re.findall(r"(?:FROM|JOIN|,)\s+([a-z_0-9]+)", text):
-            if name in CTES and name not in found:
+            if name in CTES and name not in begun:
+                begun.add(name)
                 visit(CTES[name])
                 found.append(name)
 
@@ -246,8 +249,9 @@ def needed(sql: str) -> list[str]:
 
 
 def composed(sql: str) -> str:
-    parts = [f"{name} AS ({CTES[name]})" for name in needed(sql)]
-    return (f"WITH {', '.join(parts)} " if parts else "") + sql
+    # What a recursion reads in every step is made once.
+    parts = [f"{name} AS {'MATERIALIZED ' * (name == 'row_train')}({CTES[name]})" for name in needed(sql)]
+    return (f"WITH RECURSIVE {', '.join(parts)} " if parts else "") + sql
 
 
 def listed(names, rounded=()) -> str:
@@ -456,4 +460,82 @@ CTES["big_classes"] = "SELECT dataset, id, " + ", ".join(
 ) + " FROM big_rows"
 CTES["base"] = "SELECT DISTINCT term FROM (SELECT unnest(string_split(text, ' ')) AS term FROM docs) WHERE term <> ''"
 
+# Experiments of one group of row features: name, columns.
+ROW_EXPERIMENTS = (
+    ("C_LEXICAL_ONLY", LEXICAL_GROUP), ("D_HATE_LEXICON_ONLY", LEXICON_GROUP), ("E_SENTIMENT_ONLY", SENTIMENT_GROUP),
+)
+NEWTON_STEPS = 30
+_width = 1 + max(len(columns) for _, columns in ROW_EXPERIMENTS)
+
+
+def _eliminated(matrix: str, pivot: int) -> str:
+    """One step of Gauss and Jordan; the curvature is positive definite, so pivots stay on the diagonal."""
+    row = (
+        f"CASE WHEN i = {pivot} THEN list_transform(r, lambda v: v / r[{pivot}]) "
+        f"ELSE list_transform(r, lambda v, j: v - r[{pivot}] / m[{pivot}][{pivot}] * m[{pivot}][j]) END"
+    )
+    return (
+        f"SELECT experiment, dataset, it, beta, CASE WHEN len(m) < {pivot} THEN m "
+        f"ELSE list_transform(m, lambda r, i: {row}) END AS m FROM ({matrix})"
+    )
+
+
+def _newton() -> str:
+    rows = (
+        "SELECT experiment, dataset, it, beta, x, c * (p - label) AS slope, c * p * (1 - p) AS bend FROM "
+        "(SELECT w.experiment, w.dataset, w.it, w.beta, t.x, t.c, t.label, "
+        "0.5::DOUBLE * (1 + tanh(0.5::DOUBLE * list_dot_product(t.x, w.beta))) AS p "
+        f"FROM weights_so_far w JOIN row_train t USING (experiment, dataset) WHERE it < {NEWTON_STEPS})"
+    )
+    cells = (
+        "SELECT experiment, dataset, it, beta, j, k, CASE WHEN k > len(beta) THEN sum(slope * x[j]) + CASE WHEN j > 1 THEN beta[j] ELSE 0 END "
+        "ELSE sum(bend * x[j] * x[k]) + CASE WHEN j = k AND j > 1 THEN 1 ELSE 0 END END AS v "
+        f"FROM ({rows}) r JOIN places ON j <= len(x) AND k <= len(x) + 1 GROUP BY experiment, dataset, it, beta, j, k"
+    )
+    lines = f"SELECT experiment, dataset, it, beta, j, list(v ORDER BY k) AS line FROM ({cells}) GROUP BY experiment, dataset, it, beta, j"
+    matrix = f"SELECT experiment, dataset, it, beta, list(line ORDER BY j) AS m FROM ({lines}) GROUP BY experiment, dataset, it, beta"
+    for pivot in range(1, _width + 1):
+        matrix = _eliminated(matrix, pivot)
+    return (
+        "SELECT experiment, dataset, 0 AS it, list_transform(any_value(x), lambda v: 0.0::DOUBLE) AS beta FROM row_train GROUP BY ALL "
+        "UNION ALL SELECT experiment, dataset, it + 1, list_transform(beta, lambda b, j: b - m[j][len(m) + 1]) AS beta "
+        f"FROM ({matrix})"
+    )
+
+
+CTES["row_cells"] = " UNION ALL ".join(
+    f"SELECT '{name}' AS experiment, dataset, id, label, is_test, [1.0::DOUBLE, {', '.join(f'{c}::DOUBLE' for c in columns)}] AS x "
+    "FROM row_split JOIN lexical USING (dataset, id) JOIN grade USING (id) JOIN lexicon USING (dataset, id) JOIN sentiment USING (dataset, id)"
+    for name, columns in ROW_EXPERIMENTS
+)
+CTES["row_split"] = BODIES["stratified_holdout"]
+CTES["row_train"] = (
+    "SELECT experiment, dataset, x, label, count(*) OVER (PARTITION BY experiment, dataset)::DOUBLE "
+    "/ (2 * count(*) OVER (PARTITION BY experiment, dataset, label)) AS c FROM row_cells WHERE is_test = 0"
+)
+CTES["places"] = f"SELECT j, k FROM range(1, {_width + 1}) AS a(j), range(1, {_width + 2}) AS b(k)"
+CTES["weights_so_far"] = _newton()
+CTES["row_weights"] = f"SELECT experiment, dataset, beta FROM weights_so_far WHERE it = {NEWTON_STEPS}"
+CTES["row_scores"] = (
+    "SELECT experiment, dataset, id, label, len(x) - 1 AS n_features, 1 / (1 + exp(-list_dot_product(x, beta))) AS score "
+    "FROM row_cells JOIN row_weights USING (experiment, dataset) WHERE is_test = 1"
+)
+CTES["row_counts"] = "SELECT dataset, experiment, n_features, " + ", ".join(
+    f"count(*) FILTER (label = {truth} AND (score > 0.5)::INT = {guess}) AS {name}"
+    for name, truth, guess in (("true_positives", 1, 1), ("true_negatives", 0, 0), ("false_positives", 0, 1), ("false_negatives", 1, 0))
+) + " FROM row_scores GROUP BY ALL"
+BODIES["logistic_weights"] = (
+    "SELECT dataset, experiment, place - 1 AS place, round(beta[place], 4) + 0.0 AS weight FROM "
+    "(SELECT *, unnest(range(1, len(beta) + 1))::INT AS place FROM row_weights)"
+)
+BODIES["logistic_predictions"] = (
+    "SELECT dataset, experiment, id, label, (score > 0.5)::INT AS prediction, round(score, 4) + 0.0 AS score FROM row_scores"
+)
+BODIES["row_ablation"] = (
+    "SELECT *, round((true_positives + true_negatives)::DOUBLE / (true_positives + true_negatives + false_positives + false_negatives), 6) AS accuracy, "
+    f"round({ratio('true_positives', 'true_positives + false_positives')}, 6) AS precision, "
+    f"round({ratio('true_positives', 'true_positives + false_negatives')}, 6) AS recall, "
+    f"round({ratio('2 * true_positives', '2 * true_positives + false_positives + false_negatives')}, 6) AS f1 FROM row_counts"
+)
+
 ORACLES: dict[str, str] = {name: composed(body) for name, body in BODIES.items()}

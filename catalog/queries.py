@@ -644,3 +644,46 @@ def overall_summary(spark, sf):
 def ablation(spark, sf):
     results = ab.run_ablation(src.posts(spark, sf), extractor(spark, sf), seed=src.SEED)
     return rounded(results, "accuracy", "precision", "recall", "f1", "roc_auc")
+
+
+def _row_experiments(spark, sf):
+    """The ablation's experiments on row features alone, fitted to the last digits."""
+    store, sizes = ab.row_store(ab.holdout(src.posts(spark, sf), seed=src.SEED), src.dictionaries(spark))
+    experiments = {name: groups for name, groups in ab.EXPERIMENTS.items() if groups[0] in sizes and len(groups) == 1}
+    return ab.score_experiments(store, dict.fromkeys(src.DATASETS, sizes), experiments, tolerance=1e-14)
+
+
+@query
+def logistic_weights(spark, sf):
+    """Weights of the models with 15, 3 and 10 columns; column 0 is the intercept."""
+    _, models = _row_experiments(spark, sf)
+    groups = {"lexical": 15, "hate_lexicon": 3, "sentiment": 10}
+    rows = []
+    for dataset, experiment, model in models:
+        start = 0
+        for group, size in groups.items():
+            if (group,) == ab.EXPERIMENTS[experiment]:
+                weights = [model.intercept, *model.coefficients[start : start + size].tolist()]
+                rows += [(dataset, experiment, i, w) for i, w in enumerate(weights)]
+            start += size
+    return rounded_to(spark.createDataFrame(rows, "dataset string, experiment string, place int, weight double"), 4, "weight")
+
+
+@query
+def logistic_predictions(spark, sf):
+    """Held-out rows under these models."""
+    scored, _ = _row_experiments(spark, sf)
+    return rounded_to(scored.select("dataset", "experiment", "id", "label", "prediction", "score"), 4, "score")
+
+
+@query
+def row_ablation(spark, sf):
+    """Metrics of these models on the held-out rows."""
+    scored, _ = _row_experiments(spark, sf)
+    counts = mx.confusion(scored, ["dataset", "experiment", "n_features"])
+    return rounded(mx.with_metrics(counts), "accuracy", "precision", "recall", "f1")
+
+
+def rounded_to(df: DataFrame, digits: int, *names: str) -> DataFrame:
+    # Adding 0 makes -0 a plain 0.
+    return df.withColumns({n: F.round(n, digits) + 0.0 for n in names})

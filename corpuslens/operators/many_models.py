@@ -177,6 +177,9 @@ def _newton(penalty: np.ndarray, n_full: int, max_iter: int, tolerance: float) -
             if found[0] <= value + 1e-4 * share * slope + 1e-13 * abs(value) or share < 1e-6:
                 break
             share /= 2
+        if share < 1e-6:
+            # Rounding hides any further gain.
+            return w, iteration, decrement > 1e-6 * max(1.0, value), norm
         w, (value, gradient, diagonal, block) = there, found
         scaled = _Preconditioner(diagonal, block)
 
