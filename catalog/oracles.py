@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from catalog import inputs as src
 from corpuslens.functions.text import LEXICAL
+from corpuslens.operators.many_models import HALF
 from corpuslens.operators.reports import FULL, LEFT_OUT
 from corpuslens.plans.features import (
     EMBEDDING_SCORES,
@@ -521,7 +522,7 @@ CTES["row_scores"] = (
     "FROM row_cells JOIN row_weights USING (experiment, dataset) WHERE is_test = 1"
 )
 CTES["row_counts"] = "SELECT dataset, experiment, n_features, " + ", ".join(
-    f"count(*) FILTER (label = {truth} AND (score > 0.5)::INT = {guess}) AS {name}"
+    f"count(*) FILTER (label = {truth} AND (score > {HALF!r}::DOUBLE)::INT = {guess}) AS {name}"
     for name, truth, guess in (("true_positives", 1, 1), ("true_negatives", 0, 0), ("false_positives", 0, 1), ("false_negatives", 1, 0))
 ) + " FROM row_scores GROUP BY ALL"
 BODIES["logistic_weights"] = (
@@ -529,7 +530,7 @@ BODIES["logistic_weights"] = (
     "(SELECT *, unnest(range(1, len(beta) + 1))::INT AS place FROM row_weights)"
 )
 BODIES["logistic_predictions"] = (
-    "SELECT dataset, experiment, id, label, (score > 0.5)::INT AS prediction, round(score, 4) + 0.0 AS score FROM row_scores"
+    f"SELECT dataset, experiment, id, label, (score > {HALF!r}::DOUBLE)::INT AS prediction, round(score, 4) + 0.0 AS score FROM row_scores"
 )
 BODIES["row_ablation"] = (
     "SELECT *, round((true_positives + true_negatives)::DOUBLE / (true_positives + true_negatives + false_positives + false_negatives), 6) AS accuracy, "

@@ -31,6 +31,8 @@ FULL_CURVATURE = 512
 # Squared length of the last Newton step, by the curvature, against the objective.
 TOLERANCE = 1e-9
 INNER = 60
+# Scores above count as label 1; one half up to rounding does not.
+HALF = 0.5 + 1e-9
 # Numbers of a task's dense working matrix.
 CELLS = 2_000_000
 # Partial sums that the driver adds up itself; beyond that they are summed per fit on the executors first.
@@ -316,7 +318,7 @@ def score_many(store: DataFrame, fits: Sequence[ManyFit], models: Sequence[Logis
             z = (matrix @ weights[:, used].T)[row, fit]
             kept = [batch.column(c).take(pa.array(row)) for c in keep]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(fit, pa.int32()), *kept, pa.array((z > 0).astype(np.int32)), pa.array(sigmoid(z))],
+                [pa.array(fit, pa.int32()), *kept, pa.array((sigmoid(z) > HALF).astype(np.int32)), pa.array(sigmoid(z))],
                 names=["fit", *keep, "prediction", "score"],
             )
 

@@ -173,7 +173,7 @@ def test_many_fits_in_one_scan_equal_single_ones(spark):
         margins.append(whole @ model.coefficients + model.intercept)
     scored = mm.score_many(store, fits, models, ["id"]).collect()
     assert sorted((r["fit"], r["id"]) for r in scored) == sorted((f, i) for f, fit in enumerate(fits) for i in range(n) if part[i] in fit.test)
-    assert all(r["score"] == pytest.approx(1 / (1 + np.exp(-margins[r["fit"]][r["id"]]))) and r["prediction"] == (r["score"] > 0.5) for r in scored)
+    assert all(r["score"] == pytest.approx(1 / (1 + np.exp(-margins[r["fit"]][r["id"]]))) and r["prediction"] == (r["score"] > mm.HALF) for r in scored)
 
 
 def test_many_fits_refuse_one_class(spark):
