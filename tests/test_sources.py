@@ -109,15 +109,37 @@ def test_json_and_csv_sinks(spark, tmp_path):
 
 def test_run_tree(spark, tmp_path):
     rows = spark.createDataFrame([("cv", 0.5), ("loo", 0.7)], "regime string, f1 double")
-    run = wr.save_run(rows, str(tmp_path / "runs"))
-    assert len(run) == 15 and run[8] == "_"
-    back = spark.read.parquet(str(tmp_path / "runs")).filter(
-        (F.col("run_id") == run) & (F.col("regime") == "cv")
-    )
+    base = str(tmp_path / "runs")
+    run = wr.save_run(rows, base)
+    assert run[8] == "_" and run[15] == "_"
+    back = wr.read_runs(spark, base, rows.schema).filter((F.col("run_id") == run) & (F.col("regime") == "cv"))
     assert [r["f1"] for r in back.collect()] == [0.5]
     assert (tmp_path / "runs" / f"run_id={run}" / "regime=loo").is_dir()
 
 
+def test_runs_of_one_second_stay_apart(spark, tmp_path):
+    rows = spark.createDataFrame([("cv", 0.5)], "regime string, f1 double")
+    base = str(tmp_path / "runs")
+    runs = [wr.save_run(rows, base) for _ in range(2)]
+    assert len(set(runs)) == 2
+    assert sorted(r["run_id"] for r in wr.read_runs(spark, base, rows.schema).collect()) == sorted(runs)
+    assert [r["run_id"] for r in wr.read_runs(spark, base, rows.schema, runs[:1]).collect()] == runs[:1]
+    with pytest.raises(Exception, match="(?i)exist"):
+        wr.save_run(rows, base, runs[0])
+
+
+def test_a_failed_run_is_invisible(spark, tmp_path):
+    rows = spark.createDataFrame([("cv", 0.5), ("loo", 0.0)], "regime string, f1 double")
+    base = str(tmp_path / "runs")
+    whole = wr.save_run(rows, base)
+    failing = rows.withColumn("f1", F.when(F.col("regime") == "cv", F.col("f1")).otherwise(F.raise_error(F.lit("task fails")).cast("double")))
+    with pytest.raises(Exception, match="task fails"):
+        wr.save_run(failing, base, "half")
+    # Files of a run that was stopped before its manifest.
+    rows.write.partitionBy("regime").mode("overwrite").parquet(f"{base}/run_id=half")
+    assert {r["run_id"] for r in wr.read_runs(spark, base, rows.schema).collect()} == {whole}
+
+
 def test_spread_only_where_splits_are_few(spark):
     cores = spark.sparkContext.defaultParallelism
     few = spark.range(100).coalesce(1)
