@@ -1,3 +1,5 @@
+from dataclasses import replace
+
 import numpy as np
 import pytest
 from pyspark.ml.linalg import Vectors as MLVectors
@@ -11,6 +13,7 @@ from corpuslens.operators.selection import forest_importances, select_terms
 from corpuslens.plans import ablation as ab
 from corpuslens.plans import features as ft
 from corpuslens.plans import regimes as rg
+from corpuslens.plans.saved import load_model, save_model
 from corpuslens.session import written
 from corpuslens.sources import writers as wr
 
@@ -77,14 +80,30 @@ def test_extract_features_needs_no_labels(model, extractor, posts):
     assert "label" not in rows.columns and rows.count() == posts.count()
 
 
+def test_a_saved_model_transforms_as_before(spark, sf_small, model, extractor, posts, tmp_path):
+    path = str(tmp_path / "model")
+    save_model(model, path)
+    session = spark.newSession()
+    again = load_model(session, path, src.dictionaries(session), src.vectors(session, sf_small))
+    rows = session.createDataFrame(posts.toArrow())
+    key = lambda r: (r["dataset"], r["id"])
+    assert sorted(again.transform(rows).collect(), key=key) == sorted(model.transform(posts).collect(), key=key)
+    assert again.terms == model.terms and again.group_sizes("p0") == model.group_sizes("p0")
+    with pytest.raises(Exception, match="(?i)exist"):
+        save_model(model, path)
+    with pytest.raises(ValueError, match="vectors"):
+        load_model(spark, path, extractor.dictionaries, replace(extractor.vectors, size=3))
+    model.neutral.withColumn("more", F.lit(1)).write.mode("overwrite").parquet(f"{path}/neutral")
+    with pytest.raises(ValueError, match="neutral"):
+        load_model(spark, path, extractor.dictionaries, extractor.vectors)
+
+
 def test_fit_requires_columns(extractor, posts):
     with pytest.raises(ValueError, match="label"):
         extractor.fit(posts.drop("label"))
 
 
 def test_selection_can_be_switched_off(spark, extractor, posts):
-    from dataclasses import replace
-
     loose = replace(extractor, settings=replace(TINY, tfidf_selection_method="none"))
     model, rows = loose.fit_transform(posts)
     assert model.group_sizes("p1")["tfidf"] == 300 and rows.count() == posts.count()
