@@ -4,10 +4,10 @@ A token's weight is the log-odds of toxic against clean documents. The Dirichlet
 distribution of the next shorter prefix, so an unseen form of a known stem has the weight of the stem; a word that ends
 with a surely toxic word, once marks on letters are gone and digits are the letters they stand for, has a part of that
 word's weight. A token is counted once per distinct pair of neighbours, so copies of
-a document add nothing. Before that, signs inside words become the letters they stand for, and letters that stand alone between dots, dashes or blanks are one word. Three words in a row
-weigh more than their words do if significantly many toxic texts hold them, so a fixed passage of usual words counts, too.
-All maximal-scoring segments of a document
-are found in one scan. Their scores follow an extreme-value law in clean text (Karlin and Altschul): a segment is
+a document add nothing. Before that, signs inside words become the letters they stand for, and letters that stand alone
+between dots, dashes or blanks are one word. Of toxic texts that words do not explain, three words in a row that significantly
+many of them hold get a weight of their own, so a fixed passage of usual words counts, too. All maximal-scoring segments of a
+document are found in one scan. Their scores follow an extreme-value law in clean text (Karlin and Altschul): a segment is
 significant if fewer than one like it is expected in clean text of that length. The excess of all significant segments
 is summed and mapped to a probability by a logistic curve, fitted on documents scored with the other half's weights.
 
@@ -243,8 +243,11 @@ def _texts_with(train: DataFrame) -> DataFrame:
     return counts.groupBy("word").agg(*[F.sum(F.when(F.col("label") == k, F.col("n")).otherwise(0)).alias(f"d{k}") for k in (0, 1)])
 
 
-def _phrase_counts(train: DataFrame) -> dict[tuple[str, str, str], np.ndarray]:
-    """Distinct texts ``[half, label]`` that hold three words in a row, for phrases that lean to toxic significantly."""
+def _phrase_counts(train: DataFrame) -> tuple[dict[tuple[str, str, str], np.ndarray], float]:
+    """Distinct texts ``[half, label]`` that hold three words in a row, for phrases that lean to toxic significantly.
+
+    Also the share of toxic texts.
+    """
 
     def run(batches):
         for batch in batches:
@@ -264,13 +267,13 @@ def _phrase_counts(train: DataFrame) -> dict[tuple[str, str, str], np.ndarray]:
     # Each phrase has so many toxic texts of the bounded sample.
     kept = written(counts, "phrases").toArrow().to_pydict()
     toxic, clean = (sum(n for (_, label), n in sizes.items() if label == k) for k in (1, 0))
-    base = toxic / (toxic + clean)
+    base = min(max(toxic / max(1, toxic + clean), 1e-6), 1 - 1e-6)
     found = {}
     for phrase, *values in zip(kept["phrase"], *(kept[n] for n in names)):
         n = np.array(values, float).reshape(2, 2)
         if significance(n[:, 1].sum(), n[:, 0].sum(), base) >= PHRASE_SIGNIFICANT:
             found[tuple(phrase.split(" "))] = n
-    return found
+    return found, base
 
 
 def significance(toxic: float, clean: float, base: float) -> float:
@@ -348,13 +351,23 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Model
         chosen = {s: c[half].sum(0) for s, c in counts.items()}
         return Weights.fit({s: (t, c) for s, (c, t) in chosen.items() if t + c > 0}, max(toxic, 1.0), max(clean, 1.0))
 
-    phrases, base = _phrase_counts(train), totals[:, 1].sum() / max(1.0, totals.sum())
+    other = [(weights_of((1,)).stems, {}), (weights_of((0,)).stems, {})]
+    model = Model(weights_of((0, 1)).stems)
+    _calibrate(model, _sparse(train, other), share)
+    # Phrases are learned from what words do not explain; often nothing is left.
+    rest = written(_unexplained(train, model, other), "unexplained")
+    if rest.where("label = 1").count() < PHRASE_TEXTS:
+        return model
+    phrases, base = _phrase_counts(rest)
+    if phrases:
+        halves = ((1,), (0,), (0, 1))
+        *other, model.phrases = (phrase_weights(phrases, h, base, weights_of(h)) for h in halves)
+        _calibrate(model, _sparse(train, [(weights_of(h).stems, found) for h, found in zip(halves, other)]), share)
+    return model
 
-    def both(halves) -> tuple[dict, dict]:
-        words = weights_of(halves)
-        return words.stems, phrase_weights(phrases, halves, min(max(base, 1e-6), 1 - 1e-6), words)
 
-    other = [both((1,)), both((0,))]
+def _sparse(train: DataFrame, other: list[tuple[dict, dict]]) -> pd.DataFrame:
+    """Places of the few words with a positive weight by the other half's weights, for the bounded sample."""
 
     def run(batches):
         weights = [Weights(*known) for known in other]
@@ -366,11 +379,20 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Model
                     pd.DataFrame({"label": label, "n": n, "places": places, "values": values}), schema=SPARSE, preserve_index=False
                 )
 
-    # Places of the few words with a positive weight, for the bounded sample.
-    sparse = train.mapInArrow(run, "label int, n long, places array<long>, values array<double>").toPandas()
-    model = Model(*both((0, 1)))
-    _calibrate(model, sparse, share)
-    return model
+    return train.mapInArrow(run, "label int, n long, places array<long>, values array<double>").toPandas()
+
+
+def _unexplained(train: DataFrame, model: Model, other: list[tuple[dict, dict]]) -> DataFrame:
+    """The clean rows, and the toxic ones that score below one half by the other half's words."""
+
+    def run(batches):
+        weights = [Weights(*known) for known in other]
+        for batch in batches:
+            text, label, half = (c.to_pylist() for c in batch.columns)
+            keep = [y == 0 or model.probability(model.evidence(*weights[h].positive(x))) < 0.5 for x, y, h in zip(text, label, half)]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return train.mapInArrow(run, "text string, label int, half int")
 
 
 SPARSE = pa.schema([("label", pa.int32()), ("n", pa.int64()), ("places", pa.list_(pa.int64())), ("values", pa.list_(pa.float64()))])
