@@ -33,15 +33,15 @@ def attach(rows: DataFrame, groups: DataFrame, key: str, size: str, names: list[
 BITMAP = 1 << 20
 
 
-def split_by(rows: DataFrame, keys: DataFrame, on: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
+def split_by(rows: DataFrame, keys: DataFrame, on: dict[str, Column], bits: int = BITMAP) -> tuple[DataFrame, DataFrame]:
     """``rows`` that may have one of ``keys``, and ``rows`` that surely have none; neither is shuffled.
 
     ``on`` has, by column name of ``keys``, the same value of a row. A bitmap of the keys' hashes is broadcast; what it
-    lets through is left for an exact join, which then shuffles few rows.
+    lets through is left for an exact join, which then shuffles few rows. With more keys than ``bits`` it lets most through.
     """
 
     def place(*columns):
-        return F.pmod(F.xxhash64(*columns), F.lit(BITMAP))
+        return F.pmod(F.xxhash64(*columns), F.lit(bits))
 
     word, bit = F.expr("_at DIV 64"), F.expr("shiftleft(1L, int(_at % 64))")
     marks = keys.select(place(*map(F.col, on)).alias("_at")).select(word.alias("_word"), bit.alias("_bit"))

@@ -10,6 +10,7 @@ Keys are sorted, and those that only one set has are dropped. Then groups are jo
 copies are not paired with each other: first every set is compared with the smallest id under its keys, and what links
 is one; then only sets of different groups that still share a key are compared. A parity sketch of each set bounds the
 difference from below and rules out most pairs; the rest are verified on the words themselves. Equal sets count once.
+Only a short fold of the sketch travels with a shared key; whole sketches are fetched once per pair.
 
 Defined results: null or blank text has no shingle and links with nothing; a text with fewer words than a shingle has one,
 its whole sequence; ties cannot occur, as links do not depend on order; rows that share an id are one document with several
@@ -31,11 +32,16 @@ from pyspark.sql import functions as F
 
 from corpuslens.llm.common import Memo, id_and_text, map_texts
 from corpuslens.llm.components import connected
-from corpuslens.llm.groups import attach, split_by
+from corpuslens.llm.groups import HOT_SHARE, attach, split_by
 from corpuslens.session import written
 
 # A sketch has at least so many bits, and at least two per element.
 SKETCH_BITS = 512
+# A fold has at least so many bits, and at least four per element in which linked sets may differ: sets that have nothing
+# in common then differ in twice as many bits as linked ones may.
+FOLD_BITS = 128
+# Bits that tell which rows may be copies of others; 1 MB, good for some ten million copies.
+COPY_BITS = 1 << 23
 # Rows of one key that are compared in one piece; a key with more is cut into blocks, and pairs of blocks are spread.
 BLOCK_ROWS = 256
 # Texts that are verified against one copy of another text.
@@ -115,6 +121,12 @@ def difference(total: int, percent: int) -> int:
     return total * (100 - percent) // (100 + percent)
 
 
+def brief(marks: np.ndarray, n: int, percent: int) -> np.ndarray:
+    """The fold of the sketch of ``n`` elements that goes with its keys."""
+    apart = difference(n + n * 100 // percent, percent)
+    return folded(marks, max(FOLD_BITS, 1 << (4 * apart - 1).bit_length() if apart else 0) // 64)
+
+
 def spare(need: int) -> int:
     """Plain segments beyond those needed, so that a set may leave out its emptiest."""
     return 1 + need // 8
@@ -224,16 +236,21 @@ class Join:
         # Several texts of one document belong together.
         several = copies.join(sets.select("doc_id", F.col("digest").alias("more")), "doc_id").where("digest <> more")
         several = several.select(F.col("node").alias("a"), F.col("doc_id").alias("b")).distinct()
-        roots = self._roots(sets, copies.drop("node"), several)
+        hot = classes.where(F.col("members") > max(1, HOT_SHARE * self._rows(classes))).select("digest", "node")
+        roots = self._roots(sets, copies.drop("node"), hot, several)
         classes = classes.join(roots, "node", "left").select("digest", "members", F.coalesce("root", "node").alias("class_root"))
         rows = attach(plain, written(classes, "class-roots"), "digest", "members", ["class_root"])
         rows = rows.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left")
         found = F.least(F.coalesce("class_root", "doc_id"), F.coalesce("root", "doc_id"))
         return rows.select("doc_id", "n_shingles", found.alias("component_id"))
 
+    @staticmethod
+    def _rows(classes: DataFrame) -> int:
+        return classes.agg(F.coalesce(F.sum("members"), F.lit(0))).first()[0]
+
     def _sets(self) -> DataFrame:
-        """``doc_id, n_shingles, digest, sketch`` for every row."""
-        size = self.size
+        """``doc_id, n_shingles, digest, sketch, brief`` for every row."""
+        size, percent = self.size, self.percent
 
         def start():
             hasher = Hasher(size)
@@ -241,17 +258,20 @@ class Join:
             def work(ids, texts):
                 sets = [hasher(text) for text in texts]
                 digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
+                marks = [sketch(s) for s in sets]
                 columns = [
                     pa.array(ids, pa.int64()),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array(digests, pa.binary()),
-                    pa.array([sketch(s) for s in sets], pa.list_(pa.int64())),
+                    pa.array(marks, pa.list_(pa.int64())),
+                    pa.array([brief(m, len(s), percent) for m, s in zip(marks, sets)], pa.list_(pa.int64())),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "digest", "sketch"])
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "digest", "sketch", "brief"])
 
             return work
 
-        return written(map_texts(self.texts, start, "doc_id long, n_shingles long, digest binary, sketch array<long>"), "sets")
+        schema = "doc_id long, n_shingles long, digest binary, sketch array<long>, brief array<long>"
+        return written(map_texts(self.texts, start, schema), "sets")
 
     def _scheme(self, sets: DataFrame) -> list[Band]:
         largest = sets.agg(F.coalesce(F.max("n_shingles"), F.lit(0))).first()[0]
@@ -261,8 +281,12 @@ class Join:
         counts = {row.band: row["count"] for row in sets.where("n_shingles > 0").groupBy(band.alias("band")).count().collect()}
         return bands(largest, counts, self.percent)
 
-    def _shared(self, sets: DataFrame, copies: DataFrame) -> DataFrame:
-        """``key, node, first``: sets under keys that several sets have, and the smallest id under the key."""
+    def _shared(self, sets: DataFrame, copies: DataFrame, hot: DataFrame) -> DataFrame:
+        """``key, node, first``: sets under keys that several sets have, and the smallest id under the key.
+
+        Copies give no keys. Those in ``hot`` classes, fewer than 1 / HOT_SHARE, are known by broadcast; of the other rows
+        only those that a bitmap takes for copies are shuffled to find out.
+        """
         size, percent, scheme = self.size, self.percent, self._scheme(sets)
         lows = np.array([band.low for band in scheme])
 
@@ -280,16 +304,20 @@ class Join:
 
             return work
 
-        rows = map_texts(self.texts, start, "doc_id long, digest binary, keys array<long>")
-        rows = rows.join(copies, ["doc_id", "digest"], "left_anti").select(F.explode("keys").alias("key"), F.col("doc_id").alias("node"))
+        cold = written(copies.join(F.broadcast(hot), "digest", "left_anti"), "cold-copies")
+        parts = split_by(self.texts, cold.select("doc_id"), {"doc_id": F.col("doc_id")}, COPY_BITS)
+        doubtful, sure = (map_texts(texts, start, "doc_id long, digest binary, keys array<long>") for texts in parts)
+        rows = sure.unionByName(doubtful.join(cold, ["doc_id", "digest"], "left_anti"))
+        rows = rows.join(F.broadcast(hot), "digest", "left").where("node IS NULL OR node = doc_id")
+        rows = rows.select(F.explode("keys").alias("key"), F.col("doc_id").alias("node"))
         rows = rows.repartition("key").sortWithinPartitions("key", "node")
         return written(rows.mapInArrow(_runs, "key long, node long, first long"), "shared")
 
-    def _roots(self, sets: DataFrame, copies: DataFrame, several: DataFrame) -> DataFrame:
+    def _roots(self, sets: DataFrame, copies: DataFrame, hot: DataFrame, several: DataFrame) -> DataFrame:
         """``node, root`` of every node that links."""
-        shared = self._shared(sets, copies)
+        shared = self._shared(sets, copies, hot)
         nodes = written(shared.select("node").distinct(), "nodes")
-        marks = written(sets.join(nodes, F.col("doc_id") == F.col("node"), "left_semi").select("doc_id", "n_shingles", "sketch"), "marks")
+        marks = written(sets.join(nodes, F.col("doc_id") == F.col("node"), "left_semi").select("doc_id", "n_shingles", "sketch", "brief"), "marks")
         # First round: at most one pair per set, with the most similar of the smallest ids under its keys.
         pairs = shared.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
         pairs = self._plausible(pairs, marks).groupBy("b").agg(F.min_by("a", F.struct("apart", "a")).alias("a"))
@@ -301,7 +329,7 @@ class Join:
             up = up.join(above, "root", "left").select("node", F.coalesce("higher", "root").alias("root"))
         up = written(up, "up")
         # Second round: sets of different parts under one key.
-        pairs = self._across(shared, up, marks)
+        pairs = self._plausible(written(self._across(shared, up, marks), "near"), marks)
         links = written(self._verified(pairs), "links")
         ends = links.unionByName(tree).unionByName(several)
         for side in ("a", "b"):
@@ -321,24 +349,28 @@ class Join:
         pairs = pairs.where(f"100 * least(n_a, n_b) >= {p} * greatest(n_a, n_b)").withColumn("words", F.expr("least(size(s_a), size(s_b))"))
 
         def fold(name):
-            # Sizes near each other have sketches of one length, or of one and its double.
-            halves = F.zip_with(F.slice(name, 1, F.col("words")), F.slice(name, F.col("words") + 1, F.col("words")), lambda x, y: x.bitwiseXOR(y))
-            return F.when(F.size(name) > F.col("words"), halves).otherwise(F.col(name))
+            # Pieces of the length of the shorter sketch, added up.
+            more = F.expr(f"filter(sequence(0, size({name}) DIV words - 1), x -> x > 0)")
+
+            def add(total, at):
+                return F.zip_with(total, F.slice(name, at * F.col("words") + 1, F.col("words")), lambda x, y: x.bitwiseXOR(y))
+
+            return F.aggregate(more, F.slice(name, 1, F.col("words")), add)
 
         bits = F.zip_with(fold("s_a"), fold("s_b"), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
         pairs = pairs.select("a", "b", "n_a", "n_b", F.aggregate(bits, F.lit(0), lambda total, x: total + x).alias("apart"))
         return pairs.where(f"apart <= (n_a + n_b) * {100 - p} DIV {100 + p}").select("a", "b", "apart")
 
     def _across(self, shared: DataFrame, up: DataFrame, marks: DataFrame) -> DataFrame:
-        """Plausible pairs under one key whose ends are not yet in one part."""
+        """Pairs under one key that sizes and folds allow, whose ends are not yet in one part."""
         rows = shared.join(up, "node", "left").select("key", "node", F.coalesce("root", "node").alias("part"))
         keys = rows.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("n"))
         keys = written(keys.where("low < high").select("key", F.expr(f"int(ceil(n / {BLOCK_ROWS}))").alias("blocks")), "open-keys")
         rows = rows.join(keys, "key").join(marks, F.col("node") == F.col("doc_id"))
         own = F.expr("int(pmod(xxhash64(node), blocks))")
-        rows = rows.select("key", "node", "part", "n_shingles", "sketch", own.alias("own"), F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
+        rows = rows.select("key", "node", "part", "n_shingles", "brief", own.alias("own"), F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
         rows = rows.select(
-            "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "part", "n_shingles", "sketch"
+            "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "part", "n_shingles", "brief"
         )
         rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
         percent = self.percent
