@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslens.session import written
+from corpuslens.sources.quoted import read_quoted
 
 # Cells of a CSV file that mean "missing".
 MISSING_CELLS = (
@@ -50,14 +51,17 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(cores, *keys)
 
 
-def _scan(spark: SparkSession, path: str, multi_line: bool) -> tuple[DataFrame, bool]:
+def _scan(spark: SparkSession, path: str, multi_line: bool | str) -> tuple[DataFrame, bool]:
     suffix = path.rstrip("/").rsplit(".", 1)[-1].lower()
     if suffix == "parquet":
         return spark.read.parquet(path), False
     if suffix not in ("csv", "tsv"):
         raise ValueError(f"cannot read {path}: no scan for {suffix!r}, only for csv, tsv and parquet")
+    sep = "\t" if suffix == "tsv" else ","
+    if multi_line == "split":
+        return read_quoted(spark, path, sep), True
     reader = spark.read.options(header=True, multiLine=multi_line, quote='"', escape='"')
-    return reader.csv(path, sep="\t" if suffix == "tsv" else ","), True
+    return reader.csv(path, sep=sep), True
 
 
 def posts_from(
@@ -105,13 +109,14 @@ def load_dataset(
     path: str,
     text_column: str = "text",
     label_column: str = "label",
-    multi_line: bool = True,
+    multi_line: bool | str = True,
     **options,
 ) -> DataFrame:
     """Labelled posts of a file, see :func:`posts_from` for the options.
 
     ``multi_line`` keeps quoted newlines, at the price of one task per file; switch it off
-    where texts hold none.
+    where texts hold none. ``"split"`` keeps them and reads each file by many tasks; the file
+    must be well formed, see :func:`corpuslens.sources.quoted.read_quoted`.
     """
     raw, is_csv = _scan(spark, path, multi_line)
     missing = MISSING_CELLS if is_csv else ()
