@@ -110,14 +110,15 @@ class Weights:
     def fit(cls, counts: dict[str, tuple[float, float]], toxic: float, clean: float) -> Weights:
         """``counts``: toxic and clean tokens by stem; the totals are of all tokens."""
         base = toxic / (toxic + clean)
+        # Both shares are kept: one minus the other would be 0 after a few long and surely toxic stems.
         shares, kept = {}, {}
         for stem in sorted(counts, key=lambda s: (len(s), s)):
             body = stem.removesuffix(END)
             parents = (body[:n] for n in range(len(body) - 1, SHORTEST - 1, -1))
-            prior = next((shares[p] for p in parents if p in shares), base)
+            prior = next((shares[p] for p in parents if p in shares), (base, 1 - base))
             t, c = counts[stem]
-            share = shares[stem] = (t + PRIOR * prior) / (t + c + PRIOR)
-            kept[stem] = math.log(share / (1 - share)) - math.log(base / (1 - base))
+            share = shares[stem] = tuple((n + PRIOR * p) / (t + c + PRIOR) for n, p in zip((t, c), prior))
+            kept[stem] = float(math.log(share[0] / share[1]) - math.log(base / (1 - base)))
         return cls(kept)
 
     def positive(self, text: str) -> tuple[int, np.ndarray, np.ndarray]:
@@ -289,9 +290,8 @@ def phrase_weights(counts: dict[tuple[str, str, str], np.ndarray], halves: tuple
     out = {}
     for phrase, n in counts.items():
         clean, toxic = n[list(halves)].sum(0)
-        prior = base / (base + (1 - base) * math.exp(-max(map(words.of.__getitem__, phrase))))
-        share = (toxic + PHRASE_PRIOR * prior) / (toxic + clean + PHRASE_PRIOR)
-        weight = math.log(share / (1 - share)) - math.log(base / (1 - base))
+        odds = base * math.exp(max(map(words.of.__getitem__, phrase))) / (1 - base)
+        weight = math.log((toxic + PHRASE_PRIOR * odds / (1 + odds)) / (clean + PHRASE_PRIOR / (1 + odds))) - math.log(base / (1 - base))
         if toxic and weight > 0:
             out[phrase] = min(weight, PHRASE_MOST)
     return out

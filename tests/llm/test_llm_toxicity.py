@@ -43,6 +43,17 @@ def test_prior_of_a_stem_reaches_unseen_forms():
     assert weights.of["village"] < weights.of["vilify"] and weights.of["other"] == 0
 
 
+def test_weights_of_long_stems_with_many_toxic_tokens_are_finite():
+    word = "disgustingly"
+    counts = {stem: np.array([20_000.0, 0.0]) for stem in t.prefixes(word)}
+    weights = [t.Weights.fit(counts, 1e6, 1e7).stems[stem] for stem in t.prefixes(word)]
+    assert np.isfinite(weights).all() and (np.diff(weights) > 0).all()
+    phrase = {tuple("abc"): np.array([[0.0, 9.0], [0.0, 9.0]])}
+    sure = t.Weights({})
+    sure.of["b"] = 400.0
+    assert t.phrase_weights(phrase, (0, 1), 0.1, sure) == {tuple("abc"): t.PHRASE_MOST}
+
+
 def make(spark, n=400, seed=0):
     draw = random.Random(seed)
     words = [a + b for a, b in combinations("ba de lo mi ta ro su ne ki po".split(), 2)]
