@@ -9,6 +9,7 @@ from catalog import inputs as src
 from corpuslens.operators.align import align_columns, align_terms
 from corpuslens.operators.classify import convergence, fit_logistic, score
 from corpuslens.operators import many_models as mm
+from corpuslens.operators import selection
 from corpuslens.operators.selection import forest_importances, select_terms
 from corpuslens.plans import ablation as ab
 from corpuslens.plans import features as ft
@@ -233,6 +234,17 @@ def test_transfer_summary(spark):
         rg.transfer_summary(df.filter("regime <> 'cv'"))
 
 
+def test_forest_of_many_rows_has_a_bounded_number_of_tasks(spark, monkeypatch):
+    rows = [(i, MLVectors.dense([float(i % 2), float(i % 3)]), i % 2) for i in range(200)]
+    seen, fit = [], selection.RandomForestClassifier.fit
+    monkeypatch.setattr(selection, "ROWS_PER_TASK", 2)
+    monkeypatch.setattr(
+        selection.RandomForestClassifier, "fit", lambda self, df: seen.append((df.rdd.getNumPartitions(), df.count())) or fit(self, df)
+    )
+    selection.forest_importances(spark.createDataFrame(rows, ["id", "tfidf", "label"]), trees=2, depth=2)
+    assert seen == [(selection.MOST_TASKS, 200)]
+
+
 def test_forest_finds_the_telling_column(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(200, 5))

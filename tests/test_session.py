@@ -1,3 +1,5 @@
+from threading import Barrier
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -31,3 +33,18 @@ def test_work_dir_is_the_session_setting(spark):
     if named is None:
         pytest.skip("the session names no folder")
     assert named.rstrip("/") in ss.work_dir(spark)
+
+
+def test_threads_do_not_share_properties(spark):
+    """Spark sets and clears the number of the running query in its thread's properties."""
+    from corpuslens.session import in_threads
+
+    sc, together = spark.sparkContext, Barrier(2)
+
+    def task(name):
+        together.wait()
+        sc.setLocalProperty("corpuslens.name", name)
+        together.wait()
+        return sc.getLocalProperty("corpuslens.name")
+
+    assert in_threads(spark, task, ["a", "b"], 2) == ["a", "b"]
