@@ -1,3 +1,6 @@
+import re
+
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -123,3 +126,22 @@ def test_count_in(spark):
     df = spark.createDataFrame([(["x", "y", "x"],), ([],)], "tokens array<string>")
     got = [r[0] for r in df.select(tx.count_in(F.col("tokens"), ["x", "z"])).collect()]
     assert got == [2, 0]
+
+
+def test_syllables_are_counted_without_a_list_of_matches(spark):
+    df = spark.createDataFrame([("the cake",)], "c string").select(tx.syllable_total(F.col("c")))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "regexp_extract_all" not in plan and "ArrowEvalPython" in plan
+
+
+def test_syllable_counts_of_odd_texts():
+    words = ["", "7", "2e2", "brr", "cake", "ae", "the", "queue", "e", "a1e", "x y", "sate b", "be", "aebe", "1a2te3"]
+    texts = pa.array(["x "] + [w + " " for w in words])
+    def plain(word):
+        letters = "".join(c for c in word if not c.isdigit())
+        groups = len(re.findall("[aeiouy]+", letters))
+        return max(1, groups - (letters.endswith("e") and groups > 1)) if letters else 0
+
+    want = [sum(plain(x) for x in w.split()) for w in words]
+    assert tx.syllable_counts(texts.slice(1)).tolist() == want
+    assert tx.syllable_counts(texts.slice(0, 0)).tolist() == []
