@@ -98,3 +98,12 @@ def test_lexicon_build(spark):
     variants = spark.createDataFrame([("dog", ["d0g", "dawg"]), ("x", ["hé", "élan"])], "base string, variants array<string>")
     got = sorted(r["term"] for r in build_lexicon(base, variants).collect())
     assert got == ["cats", "dawg", "dog", "dogs", "oxs", "x y", "x ys", "élan"]
+
+
+def test_words_are_shuffled_with_a_short_key_of_their_list(spark, rows, monkeypatch):
+    seen = []
+    real = type(rows).dropDuplicates
+    monkeypatch.setattr(type(rows), "dropDuplicates", lambda df, names=None: seen.append(df) or real(df, names))
+    words = spark.createDataFrame([("idiot", "NOUN")], "word string, class string")
+    dc.token_class_ratios(rows, words, inline_terms=0).collect()
+    assert {len(r["_list"]) for df in seen if "_list" in df.columns for r in df.collect()} == {16}
