@@ -6,9 +6,10 @@ the universe of shingles to segments. Each segment has a budget: 0 (a key is the
 the subset and the subset with any one element left out), and the budgets plus one sum to H + 1 at least, so linked sets
 share a key (pigeonhole). Budgets are set per band by cost: keys written against pairs that would meet by accident.
 
-Keys are sorted, and those that only one set has are dropped. Then groups are joined in two rounds, so that copies of
-copies are not paired with each other: first every set is compared with the smallest id under its keys, and what links
-is one; then only sets of different groups that still share a key are compared. A parity sketch of each set bounds the
+Keys are sorted, and those that only one set has are dropped. Then groups are joined in rounds, so that copies of copies
+are not paired with each other: first every set is compared with the smallest id under its keys, and what links is one;
+then with the closest set of another group under each key, while many link; at last all sets of different groups that
+still share a key are compared. A parity sketch of each set bounds the
 difference from below and rules out most pairs; the rest are verified on the words themselves. Equal sets count once.
 Only a short fold of the sketch travels with a shared key; whole sketches are fetched once per pair.
 
@@ -44,6 +45,8 @@ FOLD_BITS = 128
 COPY_BITS = 1 << 23
 # Rows of one key that are compared in one piece; a key with more is cut into blocks, and pairs of blocks are spread.
 BLOCK_ROWS = 256
+# Most rounds in which a set meets only the closest of another group; the last round meets all that are left.
+NEAREST_ROUNDS = 3
 # Texts that are verified against one copy of another text.
 PER_COPY = 256
 
@@ -328,10 +331,25 @@ class Join:
             above = up.select(F.col("node").alias("root"), F.col("root").alias("higher"))
             up = up.join(above, "root", "left").select("node", F.coalesce("higher", "root").alias("root"))
         up = written(up, "up")
-        # Second round: sets of different parts under one key.
+        # Further rounds: every set under a key meets the closest one of another part, so there are no more pairs than rows.
+        found, turn = tree.unionByName(several), 0
+        while True:
+            pairs = self._plausible(written(self._across(shared, up, marks, turn), "near"), marks)
+            links = written(self._verified(pairs), "links")
+            up = self._merged(up, links.unionByName(found))
+            # The last round finds what these leave, so they end once they join few sets.
+            turn += 1
+            if turn == NEAREST_ROUNDS or links.count() * 100 <= nodes.count():
+                break
+            found = links.limit(0)
+        # Last round: all sets of different parts under one key. Few of them link, as whole groups have become parts.
         pairs = self._plausible(written(self._across(shared, up, marks), "near"), marks)
-        links = written(self._verified(pairs), "links")
-        ends = links.unionByName(tree).unionByName(several)
+        return self._merged(up, written(self._verified(pairs), "links"))
+
+    @staticmethod
+    def _merged(up: DataFrame, links: DataFrame) -> DataFrame:
+        """``node, root`` once the parts that ``links (a, b)`` join are one."""
+        ends = links
         for side in ("a", "b"):
             ends = ends.join(up.select(F.col("node").alias(side), F.col("root").alias(f"up_{side}")), side, "left")
         ends = ends.select(F.coalesce("up_a", "a").alias("a"), F.coalesce("up_b", "b").alias("b")).where("a <> b")
@@ -361,23 +379,32 @@ class Join:
         pairs = pairs.select("a", "b", "n_a", "n_b", F.aggregate(bits, F.lit(0), lambda total, x: total + x).alias("apart"))
         return pairs.where(f"apart <= (n_a + n_b) * {100 - p} DIV {100 + p}").select("a", "b", "apart")
 
-    def _across(self, shared: DataFrame, up: DataFrame, marks: DataFrame) -> DataFrame:
-        """Pairs under one key that sizes and folds allow, whose ends are not yet in one part."""
+    def _across(self, shared: DataFrame, up: DataFrame, marks: DataFrame, turn: int | None = None) -> DataFrame:
+        """Pairs under one key that sizes and folds allow, whose ends are not yet in one part.
+
+        With a ``turn`` only the closest of each set, within one block; every turn cuts other blocks. Of keys with the same
+        sets (a digest of 128 bits tells) one is looked at, as copies share almost all of theirs.
+        """
         rows = shared.join(up, "node", "left").select("key", "node", F.coalesce("root", "node").alias("part"))
-        keys = rows.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("n"))
-        keys = written(keys.where("low < high").select("key", F.expr(f"int(ceil(n / {BLOCK_ROWS}))").alias("blocks")), "open-keys")
+        marked = rows.withColumns({"_x": F.xxhash64("node"), "_y": F.xxhash64(F.lit(1), "node")})
+        keys = marked.groupBy("key").agg(
+            F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("n"), F.bit_xor("_x").alias("x"), F.bit_xor("_y").alias("y")
+        )
+        keys = keys.where("low < high").groupBy("n", "x", "y").agg(F.min("key").alias("key"))
+        keys = written(keys.select("key", F.expr(f"int(ceil(n / {BLOCK_ROWS}))").alias("blocks")), "open-keys")
         rows = rows.join(keys, "key").join(marks, F.col("node") == F.col("doc_id"))
-        own = F.expr("int(pmod(xxhash64(node), blocks))")
-        rows = rows.select("key", "node", "part", "n_shingles", "brief", own.alias("own"), F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
+        own = F.expr(f"int(pmod(xxhash64(node, {turn or 0}), blocks))")
+        others = F.expr("sequence(0, blocks - 1)") if turn is None else F.array(own)
+        rows = rows.select("key", "node", "part", "n_shingles", "brief", own.alias("own"), F.explode(others).alias("other"))
         rows = rows.select(
             "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "part", "n_shingles", "brief"
         )
         rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-        percent = self.percent
+        percent, nearest = self.percent, turn is not None
 
         def compare(batches):
             for block in _blocks(batches):
-                yield from _close_pairs(block, percent)
+                yield from _close_pairs(block, percent, nearest)
 
         return rows.mapInArrow(compare, "a long, b long").distinct()
 
@@ -462,7 +489,7 @@ def _blocks(batches):
         yield group, [np.concatenate(x) for x in zip(*parts)]
 
 
-def _close_pairs(block, percent: int):
+def _close_pairs(block, percent: int, nearest: bool = False):
     (_, i, j), (own, node, part, n, marks) = block
     size = min(map(len, marks))
     marks = np.stack([folded(x, size) for x in marks])
@@ -477,7 +504,13 @@ def _close_pairs(block, percent: int):
         x, y = np.nonzero(near)
         apart = np.bitwise_count(marks[rows[x]] ^ marks[right[y]]).sum(1)
         close = apart <= total[x, y] * (100 - percent) // (100 + percent)
-        pairs.update((min(a, b), max(a, b)) for a, b in zip(node[rows[x[close]]].tolist(), node[right[y[close]]].tolist()) if a != b)
+        x, y, apart = x[close], y[close], apart[close]
+        if nearest:
+            # The first of each set, the closest first.
+            order = np.lexsort((node[right[y]], apart, x))
+            first = order[np.flatnonzero(np.r_[True, x[order][1:] != x[order][:-1]])] if len(x) else order
+            x, y = x[first], y[first]
+        pairs.update((min(a, b), max(a, b)) for a, b in zip(node[rows[x]].tolist(), node[right[y]].tolist()) if a != b)
     if pairs:
         columns = [pa.array(c, pa.int64()) for c in zip(*sorted(pairs))]
         yield pa.RecordBatch.from_arrays(columns, names=["a", "b"])

@@ -154,3 +154,40 @@ def test_one_of_each_group_stays(spark):
     rows = [(3, "a b c d e f", 1), (2, "a b c d e f", 2), (1, "q r s", 3), (None, "a b c d e f", 4), (4, None, 5)]
     df = spark.createDataFrame(rows, "doc_id long, text string, row_id long")
     assert sorted(jaccard.keep_one(df).collect(), key=lambda r: r.row_id) == [r for r in df.orderBy("row_id").collect() if r.row_id != 1]
+
+
+def test_a_group_without_a_hub_is_not_paired_with_itself(spark, monkeypatch):
+    """Variants of a text that is missing: pairs looked at grow with the sets, and no link is lost."""
+    draw, made, kept = random.Random(5), [], jaccard.written
+
+    def written(df, name, *by):
+        found = kept(df, name, *by)
+        if name == "near":
+            made.append(found.count())
+        return found
+
+    base, rows = [f"w{i}" for i in range(100)], []
+    for i in range(240):
+        words = list(base)
+        for place in draw.sample(range(100), 2):
+            words[place] = f"e{draw.randrange(10_000)}"
+        rows.append((i, " ".join(words)))
+    monkeypatch.setattr(jaccard, "written", written)
+    assert {tuple(r) for r in result(spark, rows, 1, 90)} == brute(rows, 1, 90)
+    assert sum(made) < 8 * len(rows), made
+
+
+def test_keys_with_the_same_sets_are_looked_at_once(spark, monkeypatch):
+    """Two sets under many keys and parts of their own: one pair comes out of the comparison."""
+    text = " ".join(f"w{i}" for i in range(50))
+    df = spark.createDataFrame([(1, text), (2, text + " x"), (3, text + " y")], "doc_id long, text string")
+    join, written = jaccard.Join(df, 1, 90), jaccard.written
+    sets = join._sets()
+    shared = spark.createDataFrame([(k, n, 1) for k in range(40) for n in (1, 2)] + [(40, 2, 2), (40, 3, 2)], "key long, node long, first long")
+    up = spark.createDataFrame([], "node long, root long")
+    looked_at = []
+    monkeypatch.setattr(jaccard, "written", lambda df, name: looked_at.append(kept := written(df, name)) or kept)
+    pairs = join._across(shared, up, sets.drop("digest"))
+    assert sorted(map(tuple, pairs.collect())) == [(1, 2), (2, 3)]
+    assert looked_at[0].count() == 2
+    assert join._across(shared, up, sets.drop("digest"), 0).count() == 2
