@@ -196,6 +196,29 @@ def test_many_fits_in_one_scan_equal_single_ones(spark):
     assert all(r["score"] == pytest.approx(1 / (1 + np.exp(-margins[r["fit"]][r["id"]]))) and r["prediction"] == (r["score"] > mm.HALF) for r in scored)
 
 
+def test_passes_read_blocks_not_the_store(spark, monkeypatch):
+    """Rows are counted once and packed once, however many passes a fit takes; sums by executors are the same."""
+    rng = np.random.default_rng(6)
+    n, wide = 300, 600
+    x = [{int(j): float(v) for j, v in zip(rng.choice(wide, 5, replace=False), rng.random(5))} for _ in range(n)]
+    label = [int(sum(v for j, v in s.items() if j < 300) > 1.2) for s in x]
+    rows = [(i % 3, label[i], MLVectors.dense(rng.normal(size=2)), MLVectors.sparse(wide, x[i])) for i in range(n)]
+    store = written(spark.createDataFrame(rows, ["number", "label", "a", "b"]).repartition(5), "counted")
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(number):
+        seen.add(1)
+        return number
+
+    numbered = store.withColumn("part", F.udf(counted, "int")("number"))
+    fits = [mm.ManyFit(frozenset([0, 1])), mm.ManyFit(frozenset([1, 2]))]
+    models = mm.fit_many(numbered, fits, ("a", "b"))
+    assert n <= seen.value <= 2 * n and all(m.iterations > 2 for m in models)
+    monkeypatch.setattr(mm, "FAN_IN", 0)
+    for one, other in zip(models, mm.fit_many(store.withColumnRenamed("number", "part"), fits, ("a", "b"))):
+        assert np.allclose(one.coefficients, other.coefficients, atol=1e-6) and one.intercept == pytest.approx(other.intercept, abs=1e-6)
+
+
 def test_many_fits_refuse_one_class(spark):
     rows = spark.createDataFrame([(0, 1, MLVectors.dense([1.0])), (1, 0, MLVectors.dense([2.0]))], ["part", "label", "a"])
     with pytest.raises(ValueError, match="labels 0 and 1"):
