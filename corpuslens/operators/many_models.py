@@ -73,10 +73,11 @@ class _Columns:
     names: tuple[str, ...]
     starts: dict[str, int] = field(default_factory=dict)
     size: int = 0
+    leading: int | None = None
 
     @classmethod
-    def of(cls, store: DataFrame, names: Sequence[str]) -> _Columns:
-        found = cls(tuple(names))
+    def of(cls, store: DataFrame, names: Sequence[str], leading: int | None = None) -> _Columns:
+        found = cls(tuple(names), leading=leading)
         first = store.select(*names).first()
         for name in names:
             found.starts[name] = found.size
@@ -90,7 +91,9 @@ class _Columns:
         return np.concatenate([*parts, [self.size]]).astype(np.int64)
 
     def full(self) -> int:
-        """How many leading cells get their curvature in full."""
+        """How many leading cells get their curvature in full: those named, else whole vector columns."""
+        if self.leading is not None:
+            return min(self.leading, FULL_CURVATURE, self.size)
         ends = [*list(self.starts.values())[1:], self.size]
         return max([0, *(end for end in ends if end <= FULL_CURVATURE)])
 
@@ -293,13 +296,14 @@ def _class_weights(store: DataFrame, fits: Sequence[ManyFit], part: str) -> np.n
 
 def fit_many(
     store: DataFrame, fits: Sequence[ManyFit], vectors: Sequence[str], part: str = "part", max_iter: int = MAX_ITER,
-    tolerance: float = TOLERANCE,
+    tolerance: float = TOLERANCE, leading: int | None = None,
 ) -> list[LogisticModel]:
     """Train all ``fits`` on ``store (part int, label int, one ML vector per name of vectors)``.
 
-    The vectors are read once and written as blocks (:func:`_packed`); every pass reads these.
+    The vectors are read once and written as blocks (:func:`_packed`); every pass reads these. ``leading`` says
+    how many columns are dense at the start, if that is not a number of whole vectors.
     """
-    columns, weights = _Columns.of(store, vectors), _class_weights(store, fits, part)
+    columns, weights = _Columns.of(store, vectors, leading), _class_weights(store, fits, part)
     leading = columns.full()
     solvers, numbers, full, asked, done = {}, {}, {}, {}, {}
     for i, fit in enumerate(fits):

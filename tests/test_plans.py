@@ -225,6 +225,41 @@ def test_many_fits_refuse_one_class(spark):
         mm.fit_many(rows, [mm.ManyFit(frozenset([0]))], ("a",))
 
 
+def test_dense_columns_at_the_start_of_a_wide_vector_spare_passes(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(400, 12))
+    dense = np.cumsum(base, 1) * 10.0 ** rng.integers(-2, 3, 12)
+    sparse = (rng.random((400, 600)) < 0.02) * rng.random((400, 600))
+    y = (base[:, 0] + base[:, 5] + sparse[:, 0] + rng.normal(size=400) > 0).astype(int)
+    rows = [(MLVectors.dense(np.append(a, b)), int(c)) for a, b, c in zip(dense, sparse, y)]
+    train = spark.createDataFrame(rows, ["features", "label"]).repartition(2).cache()
+    passes, run = [], mm._pass
+    monkeypatch.setattr(mm, "_pass", lambda *args: passes.append(1) or run(*args))
+    plain = fit_logistic(train, tolerance=1e-14)
+    n = len(passes)
+    model = fit_logistic(train, tolerance=1e-14, leading=12)
+    assert len(passes) - n < 0.7 * n
+    assert np.abs(model.coefficients - plain.coefficients).max() < 1e-4 and abs(model.intercept - plain.intercept) < 1e-4
+    train.unpersist()
+
+
+def test_logistic_scores_names_its_dense_columns(monkeypatch, spark, sf_small, model):
+    from catalog import queries
+
+    class Stop(Exception):
+        pass
+
+    def seen(train, **params):
+        first = train.first()["features"]
+        assert params["leading"] == model.dense_size() == 15 + 3 + 10 + 8 + 64 < first.size
+        raise Stop
+
+    monkeypatch.setattr(queries, "fit_logistic", seen)
+    monkeypatch.setattr(queries, "extractor", lambda spark, sf: ft.FeatureExtractor(src.dictionaries(spark), src.vectors(spark, sf), TINY))
+    with pytest.raises(Stop):
+        queries.QUERIES["logistic_scores"](spark, sf_small)
+
+
 def test_a_fit_at_its_limit_is_reported(spark, caplog):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(100, 6)) * [1, 100, 1, 1, 0.01, 1]
