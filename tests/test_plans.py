@@ -260,6 +260,28 @@ def test_logistic_scores_names_its_dense_columns(monkeypatch, spark, sf_small, m
         queries.QUERIES["logistic_scores"](spark, sf_small)
 
 
+def test_train_scope_reads_texts_for_row_features_once(spark, posts, extractor, monkeypatch):
+    calls, centers = [], []
+    features, similarity = ft.row_features, ft.similarity_to
+    monkeypatch.setattr(ft, "row_features", lambda *args: calls.append(1) or features(*args))
+    monkeypatch.setattr(ft, "similarity_to", lambda *args: centers.append(1) or similarity(*args))
+    rows = posts.withColumn("note", F.lit("x"))
+    scored = rg.run_regimes(rows, extractor, ("loo",), fit_scope="train")
+    assert len(calls) == len(centers) == 1
+    assert scored.count() == posts.count()
+    # One model by itself, from its own row features.
+    folded, fits = rg.folds_and_fits(rows, ("loo",))
+    pooled = folded.withColumn("pool", F.lit("pool"))
+    alone = replace(extractor, group_col="pool").fit(pooled.filter(fits[0].train))
+    part, wanted = rg._parts(folded, fits)
+    store = alone.store(pooled, "dataset", "fold")
+    want = rg._scored(store, part, [fits[0]], [wanted[0]], mm.MAX_ITER).select("id", "prediction", "score").collect()
+    got = scored.where(F.col("test_dataset") == "p0").select("id", "prediction", "score").collect()
+    assert sorted((r.id, r.prediction) for r in got) == sorted((r.id, r.prediction) for r in want)
+    known = {r.id: r.score for r in want}
+    assert all(r.score == pytest.approx(known[r.id], abs=1e-6) for r in got)
+
+
 def test_a_fit_at_its_limit_is_reported(spark, caplog):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(100, 6)) * [1, 100, 1, 1, 0.01, 1]
